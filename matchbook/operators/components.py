@@ -28,35 +28,61 @@ def connected_groups(
 
     ``group_id`` is the smallest id of the group. With ``scope`` columns, ids are
     joined up only by edges of the same scope, for all scopes in one run.
+
+    Ids are numbered once, so that the rounds move pairs of longs only.
     """
     scope = list(scope)
-    pairs, _ = cut(
-        edges.select(
-            *scope,
-            F.greatest("src", "dst").alias("node"),
-            F.least("src", "dst").alias("low"),
-        ).distinct()
+    met, seen = cut(
+        edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+        .select(*scope, F.least("src", "dst").alias("id"), F.greatest("src", "dst").alias("id_2"))
+        .distinct(),
+        pairs=F.count(F.lit(1)),
+    )
+    threshold = _threshold(2 * seen["pairs"], hub_share, hub_floor)
+    # The checkpoint fixes the numbers: a lost task cannot number its ids anew.
+    members, _ = cut(
+        met.select(*scope, F.explode(F.array("id", "id_2")).alias("id"))
+        .groupBy(*scope, "id")
+        .agg(F.count(F.lit(1)).alias("fan"))
+        .withColumn("key", F.monotonically_increasing_id())
+    )
+    half = _lookup(met.filter(F.col("id") != F.col("id_2")), members, [*scope, "id"], threshold)
+    half = half.select(*scope, F.col("id_2").alias("id"), F.col("key").alias("key_1"))
+    keyed = _lookup(half, members, [*scope, "id"], threshold)
+    links, seen = cut(
+        keyed.select(F.greatest("key", "key_1").alias("node"), F.least("key", "key_1").alias("low")),
+        links=F.count(F.lit(1)),
     )
-    members = pairs.select(*scope, F.explode(F.array("node", "low")).alias("id")).distinct()
-    links, seen = cut(pairs.filter(F.col("node") != F.col("low")), links=F.count(F.lit(1)))
-    moving = seen["links"] > 0
+    n_links, forest = seen["links"], False
+    moving = n_links > 0
     while moving:
-        threshold = hub_threshold(seen["links"], hub_share, hub_floor)
-        links, seen = cut(
-            _contract(links, scope, threshold if seen["links"] > hub_floor else None),
-            links=F.count(F.lit(1)),
-            moved=F.count_if("moved"),
+        threshold = _threshold(2 * n_links, hub_share, hub_floor)
+        links, seen = cut(_raise(links, threshold), moved=F.count_if("moved"))
+        links, moving = links.drop("moved"), seen["moved"] > 0
+        if not forest:
+            links, seen = cut(
+                _merge(links, threshold), links=F.count(F.lit(1)), moved=F.count_if("moved")
+            )
+            links, n_links = links.drop("moved"), seen["links"]
+            # Once each node has one lower neighbour, raising keeps it so.
+            forest = seen["moved"] == 0
+            moving = moving or not forest
+
+    labels = links.select(F.col("node").alias("key"), F.col("low").alias("root"))
+    placed, _ = cut(
+        members.join(labels, "key", "left").select(
+            *scope, "id", F.coalesce("root", "key").alias("root")
         )
-        links = links.drop("moved")
-        moving = seen["moved"] > 0
-    labels = links.select(*scope, F.col("node").alias("id"), F.col("low").alias("group_id"))
-    return members.join(labels, [*scope, "id"], "left").select(
-        *scope, "id", F.coalesce("group_id", "id").alias("group_id")
     )
+    groups = placed.groupBy("root").agg(
+        F.min("id").alias("group_id"), F.count(F.lit(1)).alias("fan")
+    )
+    threshold = _threshold(2 * n_links, hub_share, hub_floor)
+    return _lookup(placed, groups, ["root"], threshold).select(*scope, "id", "group_id")
 
 
-def _contract(links: DataFrame, scope: list[str], threshold: float | None) -> DataFrame:
-    """One round. ``moved`` marks links the round changed; none marked means done."""
+def _raise(links: DataFrame, threshold: float | None) -> DataFrame:
+    """Hang each node on the smallest id its lower neighbour can see."""
     ends = F.explode(
         F.array(
             F.struct(F.col("low").alias("at"), F.col("node").alias("peer")),
@@ -64,44 +90,35 @@ def _contract(links: DataFrame, scope: list[str], threshold: float | None) -> Da
         )
     ).alias("end")
     nearest = (
-        links.select(*scope, ends)
-        .select(*scope, F.col("end.at").alias("low"), F.col("end.peer").alias("peer"))
-        .groupBy(*scope, "low")
-        .agg(F.min("peer").alias("peer"), F.count(F.lit(1)).alias("fan"))
-        .select(*scope, "low", F.least("low", "peer").alias("root"), "fan")
+        links.select(ends)
+        .groupBy(F.col("end.at").alias("low"))
+        .agg(F.least(F.col("end.at"), F.min("end.peer")).alias("root"), F.count(F.lit(1)).alias("fan"))
     )
-    # A node hangs on the smallest id its lower neighbour can see.
-    raised = _lookup(links, nearest, [*scope, "low"], threshold).select(
-        *scope,
-        "node",
-        F.col("root").alias("low"),
-        (F.col("root") != F.col("low")).alias("moved"),
+    return _lookup(links, nearest, ["low"], threshold).select(
+        "node", F.col("root").alias("low"), (F.col("root") != F.col("low")).alias("moved")
     )
-    # A node with several lower neighbours keeps the smallest and passes it to the rest.
-    chosen = raised.groupBy(*scope, "node").agg(
-        F.min("low").alias("root"),
-        F.max("low").alias("top"),
-        F.max("moved").alias("moved"),
-        F.count(F.lit(1)).alias("fan"),
-    )
-    torn = chosen.filter(F.col("root") != F.col("top"))
-    kept = chosen.select(
-        *scope,
-        "node",
-        F.col("root").alias("low"),
-        (F.col("moved") | (F.col("root") != F.col("top"))).alias("moved"),
+
+
+def _merge(links: DataFrame, threshold: float | None) -> DataFrame:
+    """Of a node's lower neighbours keep the smallest, and hang the others on it."""
+    smallest = links.groupBy("node").agg(
+        F.min("low").alias("root"), F.count(F.lit(1)).alias("fan")
     )
-    passed = (
-        _lookup(raised.drop("moved"), torn.drop("moved", "top"), [*scope, "node"], threshold)
-        .filter(F.col("low") != F.col("root"))
-        .select(
-            *scope,
-            F.col("low").alias("node"),
+    moved = F.col("low") != F.col("root")
+    return (
+        _lookup(links, smallest, ["node"], threshold)
+        .groupBy(
+            F.when(moved, F.col("low")).otherwise(F.col("node")).alias("node"),
             F.col("root").alias("low"),
-            F.lit(True).alias("moved"),
         )
+        .agg(F.max(moved).alias("moved"))
     )
-    return kept.unionByName(passed).groupBy(*scope, "node", "low").agg(F.max("moved").alias("moved"))
+
+
+def _threshold(rows: int, share: float, floor: int) -> float | None:
+    """Rows beyond which a key is a hub; none when no key can have that many."""
+    threshold = hub_threshold(rows, share, floor)
+    return threshold if rows > threshold else None
 
 
 def _lookup(

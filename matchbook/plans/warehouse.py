@@ -39,7 +39,10 @@ def _text(c: Column, data_type: str = "int") -> Column:
 
 
 def _played(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders")
+    return _lines_with(spark, folder, table(spark, folder, "orders"))
+
+
+def _lines_with(spark: SparkSession, folder: str, orders: DataFrame) -> DataFrame:
     lines = table(spark, folder, "lineitem")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey)
 
@@ -143,17 +146,26 @@ def _tournament_name() -> Column:
 
 
 def raw_matches(spark: SparkSession, folder: str) -> DataFrame:
-    quantity = F.col("l_quantity").cast("int")
+    # What an order alone decides is worked out once per order, ahead of the join.
     undated = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW")
-    ends = F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("C"), "o_custkey")
-    return _played(spark, folder).select(
-        _line_key().alias("match_id"),
-        F.col("o_orderkey").alias("tourn_id"),
+    events = table(spark, folder, "orders").select(
+        "o_orderkey",
+        "o_custkey",
         _tournament_name().alias("tourn_name"),
         F.col("o_orderpriority").alias("tourn_place"),
         F.when(undated, F.date_format("o_orderdate", "yyyy/MM/dd"))
         .otherwise(F.date_format("o_orderdate", "yyyy.MM.dd"))
         .alias("tourn_start_date"),
+        F.concat(F.lit("$"), F.floor("o_totalprice").cast("bigint")).alias("tourn_value"),
+    )
+    quantity = F.col("l_quantity").cast("int")
+    ends = F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("C"), "o_custkey")
+    return _lines_with(spark, folder, events).select(
+        _line_key().alias("match_id"),
+        F.col("o_orderkey").alias("tourn_id"),
+        "tourn_name",
+        "tourn_place",
+        "tourn_start_date",
         F.date_format("l_shipdate", "yyyy.MM.dd").alias("tourn_end_date"),
         F.when(F.col("l_quantity") >= 50, "Finals")
         .when(F.col("l_quantity") >= 46, "Semi-Finals")
@@ -172,7 +184,7 @@ def raw_matches(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.col("l_discount") * 100).cast("int").alias("winner_tiebreaks_won"),
         F.round(F.col("l_tax") * 100).cast("int").alias("loser_tiebreaks_won"),
         F.lit("$").alias("tourn_currency"),
-        F.concat(F.lit("$"), F.floor("o_totalprice").cast("bigint")).alias("tourn_value"),
+        "tourn_value",
     )
 
 

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from matchbook.functions.columns import date_from_text
 
-PLAYER_SCHEMA = StructType.fromDDL(
+
+def _columns(declared: str) -> dict[str, str]:
+    return dict(column.split() for column in declared.split(","))
+
+
+PLAYER_SCHEMA = _columns(
     "player_id string, first_name string, last_name string, flag_code string, "
     "residence string, birthplace string, birthdate string, turned_pro int, "
     "weight_kg int, height_cm int, handedness string, backhand string"
 )
 
-MATCH_SCHEMA = StructType.fromDDL(
+MATCH_SCHEMA = _columns(
     "match_id string, tourn_id string, tourn_name string, tourn_place string, "
     "tourn_start_date string, tourn_end_date string, tourn_round string, "
     "tourn_round_order int, winner_id string, loser_id string, winner_seed int, "
@@ -23,13 +29,13 @@ MATCH_SCHEMA = StructType.fromDDL(
     "loser_tiebreaks_won int, tourn_currency string, tourn_value string"
 )
 
-TOURNAMENT_SCHEMA = StructType.fromDDL(
+TOURNAMENT_SCHEMA = _columns(
     "tourn_id int, tourn_name string, tourn_type string, tourn_location string, "
     "tourn_start_year int, winner_id string, tourn_winner string"
 )
 
 # Listing numbers arrive as text: cleaning decides what a bad value becomes.
-LISTING_SCHEMA = StructType.fromDDL(
+LISTING_SCHEMA = _columns(
     "id string, host_id string, neighbourhood_group string, neighbourhood string, "
     "room_type string, latitude string, longitude string, price string, "
     "minimum_nights string, number_of_reviews string, reviews_per_month string, "
@@ -37,7 +43,7 @@ LISTING_SCHEMA = StructType.fromDDL(
 )
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str, schema: Mapping[str, str]) -> DataFrame:
     """Read a CSV file with a header, taking the columns of ``schema`` by name.
 
     The header decides the order of the columns and the declared types replace
@@ -45,7 +51,7 @@ def read_csv_table(spark: SparkSession, path: str, schema: StructType) -> DataFr
     """
     raw = spark.read.option("header", True).csv(path)
     return raw.select(
-        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+        *[F.col(name).try_cast(data_type).alias(name) for name, data_type in schema.items()]
     )
 
 
