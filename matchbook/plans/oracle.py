@@ -113,7 +113,9 @@ top_points as (
 # Both directions of the round-robin meetings, then all ids in reach of each id.
 _GROUPS = f"""
 {_SEASON},
-rr as materialized (select * from edges where round like 'Round Robin%'),
+rr as materialized (
+  select lower(tournament) as tournament, year, src, dst from edges where round like 'Round Robin%'
+),
 meet as materialized (
   select distinct tournament, year, src as a, dst as b from rr
   union
@@ -601,8 +603,8 @@ select * from edges where exists (
         "group_wins": _with(
             _SEASON,
             """
-select tournament, year, src as id, cast(count(*) as bigint) as wins
-from edges where round like 'Round Robin%' group by tournament, year, src""",
+select lower(tournament) as tournament, year, src as id, cast(count(*) as bigint) as wins
+from edges where round like 'Round Robin%' group by lower(tournament), year, src""",
         ),
         "group_qualifiers": _with(
             _GROUPS,

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.functions import columns as fx
@@ -44,15 +44,7 @@ def _from(role: Callable, make: Callable) -> Query:
     return lambda spark, folder: make(role(spark, folder))
 
 
-def _raw(*wanted: Column | str) -> Query:
-    """Expressions over the uncleaned listings, one row for each."""
-    key = fx.composite_key("host_id", "id").alias("id")
-    return lambda spark, folder: rounded(
-        warehouse.raw_listings(spark, folder).select(key, *wanted)
-    )
-
-
-def _prepared(*wanted: Column | str) -> Query:
+def _prepared(*wanted: str) -> Query:
     return _from(warehouse.listings, lambda df: rounded(df.select("id", *wanted)))
 
 
@@ -238,9 +230,17 @@ EXPRESSIONS: Mapping[str, Query] = {
         warehouse.raw_listings,
         lambda df: df.select(fx.composite_key("host_id", "id").alias("host_id_id")),
     ),
-    "null_default_cast": _raw(
-        fx.default_when_null("number_of_reviews", "int", 0).alias("number_of_reviews"),
-        fx.default_when_null("reviews_per_month", "double", 0.0).alias("reviews_per_month"),
+    "null_default_cast": _from(
+        warehouse.raw_listings,
+        lambda df: rounded(
+            df.select(
+                fx.composite_key("host_id", "id").alias("id"),
+                fx.default_when_null("number_of_reviews", "int", 0).alias("number_of_reviews"),
+                fx.default_when_null("reviews_per_month", "double", 0.0).alias(
+                    "reviews_per_month"
+                ),
+            )
+        ),
     ),
     "clean_price": _from(
         warehouse.raw_listings,

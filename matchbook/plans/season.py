@@ -18,7 +18,7 @@ from matchbook.functions.columns import (
     same_text,
 )
 from matchbook.operators.components import connected_groups
-from matchbook.operators.graph import PropertyGraph, endpoint_ids
+from matchbook.operators.graph import PropertyGraph
 from matchbook.operators.profile import count_by
 from matchbook.operators.ranking import best_per_group, top_ranked
 
@@ -141,9 +141,15 @@ def round_robin_matches(edges: DataFrame, prefix: str = ROUND_ROBIN) -> DataFram
     return edges.filter(F.col("round").startswith(prefix))
 
 
+def event_round_robin(graph: PropertyGraph) -> DataFrame:
+    """Round-robin matches with the lower-case name of their event: spellings are one event."""
+    played = round_robin_matches(graph.edges)
+    return played.withColumn("tournament", F.lower("tournament"))
+
+
 def round_robin_groups(graph: PropertyGraph) -> DataFrame:
     """Groups of players who met in the round robin of an event, for every event."""
-    return connected_groups(round_robin_matches(graph.edges), EVENT)
+    return connected_groups(event_round_robin(graph), EVENT)
 
 
 def group_players(graph: PropertyGraph) -> DataFrame:
@@ -151,15 +157,10 @@ def group_players(graph: PropertyGraph) -> DataFrame:
     return round_robin_groups(graph).join(named, "id")
 
 
-def event_players(graph: PropertyGraph) -> DataFrame:
-    """Players of the round robin of every event, grouped or not."""
-    return endpoint_ids(round_robin_matches(graph.edges), EVENT)
-
-
 def group_wins(graph: PropertyGraph) -> DataFrame:
     """Round-robin wins of every player in every event."""
     return (
-        round_robin_matches(graph.edges)
+        event_round_robin(graph)
         .groupBy(*EVENT, F.col("src").alias("id"))
         .agg(F.count(F.lit(1)).alias("wins"))
     )
