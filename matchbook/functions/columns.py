@@ -18,6 +18,8 @@ IMPORTANT_CATEGORIES = tuple(CATEGORY_POINTS)
 EDGE_STYLES = {"F": ("#D32F2F", 3), "S": ("#F57C00", 2)}
 OTHER_EDGE_STYLE = ("#388E3C", 1)
 
+NUMBER_FORM = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?|nan)[df]?\s*$"
+
 ColumnOrName = Column | str
 
 
@@ -49,6 +51,16 @@ def amount_from_text(c: ColumnOrName) -> Column:
     return F.regexp_replace(_col(c).cast("string"), "[^0-9.]", "").try_cast("double")
 
 
+def number_from_text(c: ColumnOrName) -> Column:
+    """Number that a text spells, else null.
+
+    A failed cast to double costs an exception for every row, so text that cannot
+    be a number is told apart by its form first.
+    """
+    c = _col(c)
+    return F.when(c.rlike(NUMBER_FORM), c.try_cast("double"))
+
+
 def ratio_or_zero(numerator: ColumnOrName, denominator: ColumnOrName) -> Column:
     n, d = _col(numerator), _col(denominator)
     return F.when(d > 0, n.cast("double") / d).otherwise(F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from matchbook.functions.columns import is_missing
+from matchbook.functions.columns import is_missing, number_from_text
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def describe(df: DataFrame) -> DataFrame:
         numeric = isinstance(field.dataType, NumericType)
         if not numeric and not isinstance(field.dataType, StringType):
             continue
-        number = c.cast("double") if numeric else c.try_cast("double")
+        number = c.cast("double") if numeric else number_from_text(c)
         rows.append(
             F.struct(
                 F.lit(field.name).alias("column_name"),

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.functions import columns as fx
@@ -27,12 +27,18 @@ SCORE_DIGITS = 6
 
 
 def rounded(df: DataFrame, digits: int = SCORE_DIGITS) -> DataFrame:
-    """Fractions rounded, so that the order of a sum does not show."""
+    """Fractions rounded, so that the order of a sum does not show.
+
+    Done in double arithmetic: ``round`` goes through decimals, row by row.
+    """
+    scale = 10.0**digits
+
+    def near(name: str) -> Column:
+        steps = F.floor(F.abs(name) * scale + 0.5)
+        return (F.signum(name) * steps / scale).alias(name)
+
     return df.select(
-        *[
-            F.round(name, digits).alias(name) if data_type == "double" else F.col(name)
-            for name, data_type in df.dtypes
-        ]
+        *[near(name) if data_type == "double" else F.col(name) for name, data_type in df.dtypes]
     )
 
 

@@ -230,30 +230,38 @@ def seasons(spark: SparkSession, folder: str) -> PropertyGraph:
 
 def raw_listings(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with their parts; price in whole units as text such as ``$1,049``."""
-    lines, parts = table(spark, folder, "lineitem"), table(spark, folder, "part")
+    # What a part alone decides is worked out once per part, ahead of the join.
+    parts = table(spark, folder, "part").select(
+        "p_partkey",
+        "p_type",
+        F.when(F.col("p_brand") == "Brand#13", None)
+        .when(F.col("p_brand") == "Brand#14", "")
+        .otherwise(F.col("p_brand"))
+        .alias("neighbourhood"),
+        _text(F.nullif("p_size", F.lit(50))).alias("latitude"),
+        F.col("p_retailprice").cast("string").alias("longitude"),
+        _text(F.nullif(F.col("p_size") % 10, F.lit(0))).alias("calculated_host_listings_count"),
+    )
+    lines = table(spark, folder, "lineitem")
     quantity, tax, discount = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
+    units = F.floor(F.col("l_extendedprice") / 100).cast("bigint")
+    price = F.when(units < 1000, F.concat(F.lit("$"), units)).otherwise(
+        F.concat(F.lit("$"), F.format_number(units, 0))
+    )
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("id"),
         _text(F.col("l_suppkey"), "bigint").alias("host_id"),
         F.col("l_linestatus").alias("neighbourhood_group"),
-        F.when(F.col("p_brand") == "Brand#13", None)
-        .when(F.col("p_brand") == "Brand#14", "")
-        .otherwise(F.col("p_brand"))
-        .alias("neighbourhood"),
+        "neighbourhood",
         F.when((F.col("p_type") == "PROMO") & (F.col("l_linenumber") == 7), "")
         .otherwise(F.col("p_type"))
         .alias("room_type"),
-        _text(F.nullif("p_size", F.lit(50))).alias("latitude"),
-        F.col("p_retailprice").cast("string").alias("longitude"),
+        "latitude",
+        "longitude",
         F.when(quantity == 13, "")
         .when(quantity == 17, "1.2.3")
         .when(quantity == 19, None)
-        .otherwise(
-            F.concat(
-                F.lit("$"),
-                F.format_number(F.floor(F.col("l_extendedprice") / 100).cast("bigint"), 0),
-            )
-        )
+        .otherwise(price)
         .alias("price"),
         _text(F.nullif("l_linenumber", F.lit(7))).alias("minimum_nights"),
         F.when(tax == 0.0, None)
@@ -261,7 +269,7 @@ def raw_listings(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(_text(quantity))
         .alias("number_of_reviews"),
         F.when(tax == 0.0, None).otherwise(tax.cast("string")).alias("reviews_per_month"),
-        _text(F.nullif(F.col("p_size") % 10, F.lit(0))).alias("calculated_host_listings_count"),
+        "calculated_host_listings_count",
         F.when(discount == 0.1, None)
         .otherwise(_text(F.round(discount * 100)))
         .alias("availability_365"),

@@ -12,8 +12,11 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    from matchbook.runtime import SESSION_SETTINGS
+
     session = (
         SparkSession.builder.master("local[8]")
+        .config(map=SESSION_SETTINGS)
         .appName("matchbook-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4")
