@@ -38,17 +38,18 @@ def _text(c: Column, data_type: str = "int") -> Column:
     return c.cast(data_type).cast("string")
 
 
-def _played(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines_with(spark, folder, table(spark, folder, "orders"))
-
-
 def _lines_with(spark: SparkSession, folder: str, orders: DataFrame) -> DataFrame:
     lines = table(spark, folder, "lineitem")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey)
 
 
-def tour_graph(spark: SparkSession, folder: str) -> PropertyGraph:
-    """Players with numeric ids: customers from 0 upwards, suppliers from -1 downwards."""
+def tour_graph(
+    spark: SparkSession, folder: str, which: Column | None = None
+) -> PropertyGraph:
+    """Players with numeric ids: customers from 0 upwards, suppliers from -1 downwards.
+
+    ``which`` is a condition on the stored columns; it reaches the scan.
+    """
     nation = table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("country"))
     customers = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("id"),
@@ -73,7 +74,10 @@ def tour_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     )
     points = F.when(match_type == "F", 11).when(match_type == "S", 5).otherwise(1)
     ends = _supplier_id("l_suppkey"), F.col("o_custkey")
-    edges = _played(spark, folder).select(
+    played = _lines_with(spark, folder, table(spark, folder, "orders"))
+    if which is not None:
+        played = played.filter(which)
+    edges = played.select(
         _line_key().alias("match_id"),
         _returned(*ends, winner=True).alias("src"),
         _returned(*ends, winner=False).alias("dst"),
@@ -90,8 +94,7 @@ def _supplier_id(name: str) -> Column:
 
 def finals_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """All players, and of the matches only the finals."""
-    graph = tour_graph(spark, folder)
-    return PropertyGraph(graph.vertices, graph.edges.filter(F.col("match_type") == "F"))
+    return tour_graph(spark, folder, F.col("l_quantity") >= 50)
 
 
 def raw_players(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,6 +18,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Loops leave a checkpoint a round; this drops those nothing refers to any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
