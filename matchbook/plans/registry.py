@@ -136,8 +136,8 @@ def _linear_on_reviews() -> Pipeline:
 
 
 def linear_regression(spark: SparkSession, folder: str) -> DataFrame:
-    rows = warehouse.listings(spark, folder).select("label", "number_of_reviews")
-    model = _linear_on_reviews().fit(rows).stages[-1]
+    rows = warehouse.listings(spark, folder).select("id", "label", "number_of_reviews")
+    model = price_model.fit(_linear_on_reviews(), rows).stages[-1]
     line = (float(model.coefficients[0]), float(model.intercept))
     return rounded(spark.createDataFrame([line], "slope double, intercept double"))
 
@@ -146,7 +146,7 @@ def _linear_scores(spark: SparkSession, folder: str) -> DataFrame:
     training, test = prep.split(
         warehouse.listings(spark, folder).select("id", "label", "number_of_reviews")
     )
-    return _linear_on_reviews().fit(training).transform(test)
+    return price_model.fit(_linear_on_reviews(), training).transform(test)
 
 
 def rf_predict(spark: SparkSession, folder: str) -> DataFrame:
