@@ -6,8 +6,6 @@ node can read, so that a lost executor costs a re-read and not a re-run.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
@@ -23,18 +21,25 @@ SESSION_SETTINGS = {
 }
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; make one only for a local master."""
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that every node can reach: ``spark.checkpoint.dir`` of the session.
+
+    Where that is unset, a folder of this application below the warehouse, which
+    the session's nodes share by definition.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="matchbook-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all nodes")
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{warehouse}/_scratch/{sc.applicationId}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Point the session's checkpoints at its shared folder unless they have one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
