@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -44,11 +45,42 @@ class Chunks:
     Pieces that differ from text to text (very long ones) aren't held.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 300_000, longest: int = 64):
+    def __init__(
+        self,
+        encode: Callable[[str], bytes],
+        encode_many: Callable[[list[str]], list[bytes]] | None = None,
+        most: int = 500_000,
+        longest: int = 64,
+    ):
         self._encode, self._longest = encode, longest
+        self._many = encode_many or (lambda pieces: [encode(p) for p in pieces])
         self._inner = Memo(self._spaced, most)
         self._first = Memo(self._plain, most // 10)
 
+    def all_ids(self, texts: list[str], group_chars: int = 1 << 20) -> Iterator[bytes]:
+        """Ids of each text; the new pieces of some texts are encoded together."""
+        low = held = 0
+        for high, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= group_chars or high == len(texts):
+                self._learn(texts[low:high])
+                yield from map(self.ids, texts[low:high])
+                low, held = high, 0
+
+    def _learn(self, texts: list[str]) -> None:
+        pieces: set[str] = set()
+        for text in texts:
+            pieces.update(text.split(" "))
+        new = [
+            p
+            for p in pieces
+            if not self._inner.holds(p)
+            and 0 < len(p) <= self._longest
+            and not (p[0].isspace() or p[-1].isspace())
+        ]
+        for piece, ids in zip(new, self._many([" " + p for p in new])):
+            self._inner.put(piece, ids)
+
     def _plain(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Rough
@@ -178,6 +210,8 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids; texts of special tokens give their ids."""
+        if text.removeprefix(" ").isalpha():  # one pre-token
+            return array("I", self.merge(text)).tobytes()
         out: list[int] = []
         at = 0
         for match in self._special_pattern.finditer(text) if self._special_pattern else ():
@@ -187,7 +221,7 @@ class ByteBpe:
             at = match.end()
         for piece in PRETOKENS.findall(text[at:]):
             out += self.merge(piece)
-        return np.array(out, "<u4").tobytes()
+        return array("I", out).tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids: ranges of the table of all tokens' bytes, laid end to end."""
@@ -213,6 +247,12 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@lru_cache(maxsize=2)
+def own_chunks(path: str) -> Chunks:
+    """One for each Python worker, so pieces are known from task to task."""
+    return Chunks(byte_bpe(path).encode)
+
+
 def encode_documents(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -223,9 +263,9 @@ def encode_documents(
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        chunks = Chunks(byte_bpe(path).encode)
+        chunks = own_chunks(path)
         for batch in batches:
-            ids = [chunks.ids(text) for text in batch["text"].to_pylist()]
+            ids = list(chunks.all_ids(batch["text"].to_pylist()))
             yield {"doc_id": batch["doc_id"], "ids": ids}
 
     return map_rows(documents(docs, id_col, text_col), run, "doc_id long, ids binary")
@@ -254,9 +294,9 @@ def round_trip(
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         bpe = byte_bpe(path)
-        chunks = Chunks(bpe.encode)
+        chunks = own_chunks(path)
         for batch in batches:
-            ids = [chunks.ids(text) for text in batch["text"].to_pylist()]
+            ids = list(chunks.all_ids(batch["text"].to_pylist()))
             texts = (bpe.decode(np.frombuffer(x, "<u4")) for x in ids)
             yield {
                 "doc_id": batch["doc_id"],

@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchbook.llm import bpe, lines, secrets, simhash, token_files
+import corpus_pipeline
+from matchbook.llm import (
+    bpe,
+    lines,
+    nearest,
+    quality,
+    repeats,
+    rlz,
+    secrets,
+    simhash,
+    tiling,
+    token_files,
+)
 
 #: Vocabulary of the queries that encode.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,15 +34,31 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.write_and_read(_table(spark, folder, "documents"), VOCABULARY, end_id=2)
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return repeats.remove_spans(docs, repeats.repeated_spans(docs, size=400))
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return lines.apply_bitmaps(docs, lines.keep_bitmaps(docs, min_docs=10, min_chars=1))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that stay, with the probabilities they were judged by."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    kept = quality.classify(docs, labels).filter("keep")
+    return kept.select("doc_id", *(F.round(f"p_{t}", 6).alias(f"p_{t}") for t in quality.TARGETS))
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(_table(spark, folder, "documents"), VOCABULARY)
 
 
+def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     labels = simhash.near_duplicates(_table(spark, folder, "documents"), shingle=3, max_bits=3)
     return labels.select(
@@ -44,15 +72,56 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, folder, "documents")).drop("base")
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that hold benchmark items, with the items and how much of each."""
+    docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    return tiling.contaminated(docs, benchmark).select("doc_id", "item_id", "coverage", "tiles")
+
+
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return rlz.remove_spans(docs, rlz.factors(docs, window=50))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_line_dedup": op3_line_dedup,
+        "op4_quality": op4_quality,
         "op5_bpe": op5_bpe,
+        "op6_nearest": op6_nearest,
         "op7_simhash": op7_simhash,
         "op8_secrets": op8_secrets,
+        "op9_decontamination": op9_decontamination,
+        "op10_substring_dedup": op10_substring_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {"op3_line_dedup": LINE_DEDUP, "op8_secrets": None, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}
+
+
+#: Lines are numbered by unnesting; chr(10) parts them.
+LINE_DEDUP = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts
+  FROM documents
+), numbered AS (
+  SELECT doc_id, text, unnest(parts) AS line, unnest(range(len(parts))) AS nth FROM split
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+  FROM numbered
+), frequent AS (
+  SELECT line_key FROM (SELECT DISTINCT doc_id, text, line_key FROM keyed)
+  WHERE length(line_key) >= 1 GROUP BY line_key HAVING count(*) >= 10
+), marked AS (
+  SELECT doc_id, line, nth, line_key IN (SELECT line_key FROM frequent) AS dropped FROM keyed
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""

@@ -79,18 +79,31 @@ def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
 
 
 class Memo(dict):
-    """A dict that works out what it lacks, and starts anew when it has grown full."""
+    """A dict that works out what it lacks and holds at most twice ``most`` entries.
 
-    def __init__(self, work: Callable, most: int = 400_000):
+    When it has grown to ``most`` it sets its entries aside, and takes those that are
+    asked for again back, so frequent keys stay.
+    """
+
+    def __init__(self, work: Callable, most: int = 300_000):
         super().__init__()
-        self._work, self._most = work, most
+        self._work, self._most, self._aside = work, most, {}
 
     def __missing__(self, key):
-        value = self._work(key)
+        value = self._aside.get(key)
+        if value is None:
+            value = self._work(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self._most:
+            self._aside = dict(self)
             self.clear()
         self[key] = value
-        return value
+
+    def holds(self, key) -> bool:
+        return key in self or key in self._aside
 
 
 def word_hashes(words: list[bytes], memo: Memo) -> np.ndarray:

@@ -11,10 +11,13 @@ fetches the frames of the documents asked for and checks each before use.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -125,18 +128,25 @@ class TokenReader:
         return (doc_id if known else None), self._frame(frame)[at : at + n]
 
 
-def library_encoder(path: str) -> Callable[[str], bytes]:
-    """Ids of a text by the ``tokenizers`` library, without its special tokens added."""
+@lru_cache(maxsize=2)
+def library_chunks(path: str, **options) -> Chunks:
+    """Ids of texts by the ``tokenizers`` library, without its special tokens added.
+
+    One for each Python worker, so pieces are known from task to task.
+    """
+    # Tasks are the parallelism here.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def encode(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode_many(texts: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
 
-    return encode
+    return Chunks(lambda text: encode_many([text])[0], encode_many, **options)
 
 
 def write_tokens(
@@ -170,13 +180,14 @@ def write_tokens(
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         own = f"{root}/_part-{part:06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
-        chunks = Chunks(library_encoder(path))
+        chunks = library_chunks(path)
         end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
         with fs.open_output_stream(own) as sink:
             writer = TokenWriter(sink, width, frame_ids)
             while batch is not None:
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                    writer.add(doc_id, np.frombuffer(chunks.ids(text) + end, "<u4"))
+                ids = chunks.all_ids(batch["text"].to_pylist())
+                for doc_id, found in zip(batch["doc_id"].to_pylist(), ids):
+                    writer.add(doc_id, np.frombuffer(found + end, "<u4"))
                 batch = next(batches, None)
             n_docs = writer.close()
         fs.move(own, f"{root}/part-{part:06d}.tokens")

@@ -15,7 +15,7 @@ from matchbook.llm.queries import VOCABULARY
 from matchbook.llm.token_files import (
     TokenReader,
     TokenWriter,
-    library_encoder,
+    library_chunks,
     read_tokens,
     token_folder,
     write_tokens,
@@ -50,8 +50,10 @@ def test_backtracking_gives_the_merges(library):
 @pytest.mark.parametrize("most", [300_000, 20])
 def test_pieces_encode_as_the_whole(library, most):
     bpe = byte_bpe(VOCABULARY)
-    for chunks in (Chunks(bpe.encode, most), Chunks(library_encoder(VOCABULARY), most)):
-        for text in strings():
+    for chunks in (Chunks(bpe.encode, most=most), library_chunks(VOCABULARY, most=most)):
+        texts = list(strings())
+        for text, ids in zip(texts, chunks.all_ids(texts, 500), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == reference(library, text), repr(text)
             assert np.frombuffer(chunks.ids(text), "<u4").tolist() == reference(library, text), repr(text)
 
 
