@@ -18,6 +18,7 @@ IMPORTANT_CATEGORIES = tuple(CATEGORY_POINTS)
 EDGE_STYLES = {"F": ("#D32F2F", 3), "S": ("#F57C00", 2)}
 OTHER_EDGE_STYLE = ("#388E3C", 1)
 
+AMOUNT_FORM = r"^(\d+\.?\d*|\.\d+)$"
 NUMBER_FORM = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?|nan)[df]?\s*$"
 
 ColumnOrName = Column | str
@@ -48,7 +49,10 @@ def default_when_null(c: ColumnOrName, data_type: str, default) -> Column:
 
 def amount_from_text(c: ColumnOrName) -> Column:
     """Number in a money text: everything but digits and dots is dropped, the sign too."""
-    return F.regexp_replace(_col(c).cast("string"), "[^0-9.]", "").try_cast("double")
+    digits = F.regexp_replace(_col(c).cast("string"), "[^0-9.]", "")
+    # Told apart by its form first: a failed cast costs an exception for every row.
+    read = F.transform(F.array(digits), lambda d: F.when(d.rlike(AMOUNT_FORM), d.try_cast("double")))
+    return F.get(read, 0)
 
 
 def number_from_text(c: ColumnOrName) -> Column:

@@ -19,9 +19,20 @@ from matchbook.functions.columns import (
 PRICE_RANGE = (10.0, 1000.0)
 
 
-def clean_prices(df: DataFrame) -> DataFrame:
-    """Price text as a number; rows without one are dropped."""
-    return df.withColumn("price", amount_from_text("price")).filter(F.col("price").isNotNull())
+def clean_prices(
+    df: DataFrame, low: float | None = None, high: float | None = None
+) -> DataFrame:
+    """Price text as a number, the last column; rows without one, or out of the range, are dropped.
+
+    The text is parsed once a row: exploding the list of no or one price both drops the
+    row and hands the number on, where a filter and a projection would each parse it.
+    """
+    price = F.array(amount_from_text("price"))
+    if low is None:
+        kept = F.filter(price, lambda p: p.isNotNull())
+    else:
+        kept = F.filter(price, lambda p: within(p, low, high))
+    return df.select(*[c for c in df.columns if c != "price"], F.explode(kept).alias("price"))
 
 
 def prepare_listings(
@@ -32,9 +43,8 @@ def prepare_listings(
     A null number takes its default before the cast, so text that is no number
     stays null and is left to the imputer. One narrow projection: nothing shuffles.
     """
-    kept = clean_prices(raw).filter(
-        within("price", low, high) & has_text("neighbourhood") & has_text("room_type")
-    )
+    named = raw.filter(has_text("neighbourhood") & has_text("room_type"))
+    kept = clean_prices(named, low, high)
     numbers = kept.select(
         composite_key("host_id", "id").alias("id"),
         "neighbourhood",

@@ -62,7 +62,7 @@ def pagerank(
     cold = links
     if has_hubs:
         hub_ids = F.broadcast(start.filter(hub).select(F.col("id").alias("src")))
-        hot = links.join(hub_ids, "src", "left_semi")
+        hot = links.join(hub_ids, "src", "left_semi").persist()
         cold = links.join(hub_ids, "src", "left_anti")
     cold = cold.repartition(width, "src").persist()
 
@@ -93,6 +93,8 @@ def pagerank(
         state, active, done = following, seen["active"] > 0, done + 1
 
     cold.unpersist()
+    if has_hubs:
+        hot.unpersist()
     rank = F.col("rank")
     if normalise and done:
         rank = rank * (seen["n"] / seen["total"])

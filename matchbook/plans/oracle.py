@@ -31,8 +31,7 @@ e as (
     case when l_quantity >= 50 then 11 when l_quantity >= 46 then 5 else 1 end as points,
     1 as head2head
   from lineitem join orders on l_orderkey = o_orderkey
-),
-finals as (select * from e where match_type = 'F')
+)
 """
 
 _PLAYERS = """
@@ -199,15 +198,17 @@ indexed as (
 
 _LINEAR = f"""
 {_RAW_LISTINGS},
-usable as (select * from bucketed where number_of_reviews is not null),
+usable as (
+  select *, coalesce(number_of_reviews, (
+    select avg(number_of_reviews) from bucketed where bucket < 80)) as n
+  from bucketed
+),
 line as (
-  select regr_slope(label, number_of_reviews) as slope,
-    regr_intercept(label, number_of_reviews) as intercept
+  select regr_slope(label, n) as slope, regr_intercept(label, n) as intercept
   from usable where bucket < 80
 ),
 scored as (
-  select id, label as y, intercept + slope * number_of_reviews as p from usable, line
-  where bucket >= 80
+  select id, label as y, intercept + slope * n as p from usable, line where bucket >= 80
 )
 """
 
@@ -300,19 +301,6 @@ def _census() -> str:
     )
 
 
-def _pagerank_rounds(rounds: int) -> str:
-    """Fixed rounds, unrolled: rank = 0.15 + 0.85 * what the losers pass on."""
-    steps = ["r0 as (select id, 0.15::double as rank from v)"]
-    for i in range(1, rounds + 1):
-        steps.append(
-            f"r{i} as materialized (select v.id, 0.15 + 0.85 * coalesce(g.s, 0) as rank from v "
-            f"left join (select f.dst as id, sum(p.rank * f.share) as s from r{i - 1} p "
-            f"join flow f on f.src = p.id group by f.dst) g on g.id = v.id)"
-        )
-    body = f"select id, {_r('rank', 'rank')} from r{rounds}"
-    return _with(",\n".join([_TOUR, _FLOW, *steps]), body)
-
-
 _FLOW = """
 weighted as (select dst as src, src as dst, cast(count(*) as double) as w from e group by all),
 flow as materialized (
@@ -384,7 +372,7 @@ select {_LINE_KEY} as match_id, o_orderkey as tourn_id,
   '$' || cast(floor(o_totalprice) as bigint) as tourn_value
 from lineitem join orders on l_orderkey = o_orderkey""",
         "tournament_dim": _with(_TITLES, "select * from tournaments"),
-        "preview": "select o_orderkey, o_custkey, o_totalprice from orders "
+        "preview": "select * from orders "
         "order by o_orderkey limit 5",
         # expressions
         "project_rename": _with(
@@ -478,7 +466,13 @@ from e left join v a on a.id = e.src left join v b on b.id = e.dst""",
             "select * from vertices where id in (select src from event) "
             "or id in (select dst from event)",
         ),
-        "pagerank": _pagerank_rounds(10),
+        "pagerank": _with(
+            _PAGERANK_TOP,
+            f"""
+select id, {_r('rank * (select count(*) from ended) / (select sum(rank) from ended)', 'rank')}
+from ended""",
+            recursive=True,
+        ),
         # one tournament
         "match_details": _with(_TOUR, "select * from e"),
         "match_list": _with(
@@ -522,19 +516,19 @@ select least(src, dst) as id_1, any_value(case when src < dst then a.name else b
 from e left join v a on a.id = src left join v b on b.id = dst
 group by 1, 3 having count(*) > 1""",
         ),
-        "ever_won": _with(_TOUR, "select * from v where id in (select src from finals)"),
-        "ever_lost": _with(_TOUR, "select * from v where id in (select dst from finals)"),
+        "ever_won": _with(_TOUR, "select * from v where id in (select src from e)"),
+        "ever_lost": _with(_TOUR, "select * from v where id in (select dst from e)"),
         "won_and_lost": _with(
             _TOUR,
-            "select * from v where id in (select src from finals intersect select dst from finals)",
+            "select * from v where id in (select src from e intersect select dst from e)",
         ),
         "never_won": _with(
             _TOUR,
-            "select * from v where not exists (select 1 from finals where finals.src = v.id)",
+            "select * from v where not exists (select 1 from e where e.src = v.id)",
         ),
         "never_lost": _with(
             _TOUR,
-            "select * from v where not exists (select 1 from finals where finals.dst = v.id)",
+            "select * from v where not exists (select 1 from e where e.dst = v.id)",
         ),
         "win_counts": _with(
             _TOUR,
@@ -688,8 +682,9 @@ from listings""",
         ),
         "linear_regression": _with(
             _RAW_LISTINGS,
-            f"select {_r('regr_slope(label, number_of_reviews)', 'slope')}, "
-            f"{_r('regr_intercept(label, number_of_reviews)', 'intercept')} from listings",
+            f"select {_r('regr_slope(label, n)', 'slope')}, "
+            f"{_r('regr_intercept(label, n)', 'intercept')} from (select label, coalesce("
+            "number_of_reviews, (select avg(number_of_reviews) from listings)) as n from listings)",
         ),
         "regression_metrics": _with(
             _LINEAR,

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Estimator, Pipeline
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +35,9 @@ def rounded(df: DataFrame, digits: int = SCORE_DIGITS) -> DataFrame:
 
     def near(name: str) -> Column:
         steps = F.floor(F.abs(name) * scale + 0.5)
-        return (F.signum(name) * steps / scale).alias(name)
+        # Beyond that a double has no such digits; NaN counts as larger than all.
+        fine = F.abs(name) * scale < 2.0**52
+        return F.when(fine, F.signum(name) * steps / scale).otherwise(F.col(name)).alias(name)
 
     return df.select(
         *[near(name) if data_type == "double" else F.col(name) for name, data_type in df.dtypes]
@@ -70,15 +72,21 @@ def _titles(make: Callable) -> Query:
 
 def _pagerank(spark: SparkSession, folder: str) -> DataFrame:
     reversed_graph = warehouse.tour_graph(spark, folder).reverse()
-    return rounded(pagerank(reversed_graph, tol=0.0, max_rounds=10, normalise=False))
+    return rounded(pagerank(reversed_graph, tol=0.001))
 
 
 # Feature stages on the prepared listings.
 
 
+def _fit(stages, rows: DataFrame):
+    """Fit with the rows held, so that they are cleaned once for all fitted stages."""
+    with price_model.held(rows) as kept:
+        return stages.fit(kept)
+
+
 def _indexed(spark: SparkSession, folder: str) -> DataFrame:
     rows = warehouse.listings(spark, folder)
-    return price_model.string_indexer().fit(rows).transform(rows)
+    return _fit(price_model.string_indexer(), rows).transform(rows)
 
 
 def string_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,14 +96,15 @@ def string_index(spark: SparkSession, folder: str) -> DataFrame:
 
 def mean_impute(spark: SparkSession, folder: str) -> DataFrame:
     rows = warehouse.listings(spark, folder)
-    imputed = price_model.imputer().fit(rows).transform(rows)
+    imputed = _fit(price_model.imputer(), rows).transform(rows)
     return rounded(imputed.select("id", *[f"{c}_imp" for c in price_model.IMPUTED]))
 
 
 def one_hot(spark: SparkSession, folder: str) -> DataFrame:
     """Width of each one-hot vector and the slot it sets."""
-    rows = _indexed(spark, folder)
-    encoded = price_model.one_hot_encoder().fit(rows).transform(rows)
+    rows = warehouse.listings(spark, folder)
+    stages = Pipeline(stages=[price_model.string_indexer(), price_model.one_hot_encoder()])
+    encoded = _fit(stages, rows).transform(rows)
     slots = []
     for c in price_model.CATEGORIES:
         slot = vector_to_array(f"{c}_vec")
@@ -110,7 +119,7 @@ def one_hot(spark: SparkSession, folder: str) -> DataFrame:
 def assemble_features(spark: SparkSession, folder: str) -> DataFrame:
     """The assembled vector, its numbers taken out again by position."""
     rows = warehouse.listings(spark, folder)
-    assembled = price_model.feature_pipeline().fit(rows).transform(rows)
+    assembled = _fit(price_model.feature_pipeline(), rows).transform(rows)
     slots = vector_to_array("features")
     first = F.size("slots") - len(price_model.ASSEMBLED)
     numbers = [
@@ -128,31 +137,49 @@ def assemble_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _linear_on_reviews() -> Pipeline:
-    """Log price over the number of reviews; listings without that number are skipped."""
-    one_feature = VectorAssembler(
-        inputCols=["number_of_reviews"], outputCol="features", handleInvalid="skip"
-    )
-    return Pipeline(stages=[one_feature, price_model.regressor("lr")])
+    """Log price over the number of reviews; a listing without that number gets the mean."""
+    filled = Imputer(inputCols=["number_of_reviews"], outputCols=["reviews"], strategy="mean")
+    one_feature = VectorAssembler(inputCols=["reviews"], outputCol="features")
+    return Pipeline(stages=[filled, one_feature, price_model.regressor("lr")])
+
+
+def _reviews(spark: SparkSession, folder: str) -> DataFrame:
+    number = F.col("number_of_reviews").cast("double").alias("number_of_reviews")
+    return warehouse.listings(spark, folder).select("id", "label", number)
 
 
 def linear_regression(spark: SparkSession, folder: str) -> DataFrame:
-    rows = warehouse.listings(spark, folder).select("id", "label", "number_of_reviews")
-    model = price_model.fit(_linear_on_reviews(), rows).stages[-1]
+    model = price_model.fit(_linear_on_reviews(), _reviews(spark, folder), key=None).stages[-1]
     line = (float(model.coefficients[0]), float(model.intercept))
     return rounded(spark.createDataFrame([line], "slope double, intercept double"))
 
 
 def _linear_scores(spark: SparkSession, folder: str) -> DataFrame:
-    training, test = prep.split(
-        warehouse.listings(spark, folder).select("id", "label", "number_of_reviews")
-    )
-    return price_model.fit(_linear_on_reviews(), training).transform(test)
+    training, test = prep.split(_reviews(spark, folder))
+    return price_model.fit(_linear_on_reviews(), training, key=None).transform(test)
 
 
-def rf_predict(spark: SparkSession, folder: str) -> DataFrame:
+def _pipeline_scores(model: Estimator, key: str | None) -> Query:
+    """Held-out listings scored by the whole pipeline: every one of them."""
+
+    def scored(spark: SparkSession, folder: str) -> DataFrame:
+        training, test = prep.split(warehouse.listings(spark, folder))
+        return price_model.fit(price_model.price_pipeline(model), training, key).transform(test)
+
+    return scored
+
+
+def _linear_pipeline_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _pipeline_scores(price_model.regressor("lr"), None)(spark, folder)
+
+
+def _forest_scores(spark: SparkSession, folder: str) -> DataFrame:
     training, test = prep.split(warehouse.listings(spark, folder))
-    scored = _forest(training).transform(test)
-    return metrics.prediction_report(scored, "id")
+    return _forest(training).transform(test)
+
+
+def rf_predict(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.prediction_report(_forest_scores(spark, folder), "id")
 
 
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
@@ -162,7 +189,8 @@ def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _forest(training: DataFrame):
-    forest = price_model.regressor("rf").setNumTrees(10).setMaxDepth(5)
+    """The first point of the full grid."""
+    forest = price_model.regressor("rf").setNumTrees(50).setMaxDepth(5)
     return price_model.fit(price_model.price_pipeline(forest), training)
 
 
@@ -195,10 +223,6 @@ def hash_split(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _lines_numbers(df: DataFrame) -> DataFrame:
-    return df.drop("l_shipdate")
-
-
 SCANS: Mapping[str, Query] = {
     "scan_table": _table("customer", lambda df: df),
     "table_shape": _table("lineitem", profile.table_shape),
@@ -207,9 +231,7 @@ SCANS: Mapping[str, Query] = {
     "tournament_dim": warehouse.tournaments,
     "preview": _table(
         "orders",
-        lambda df: profile.preview(
-            df.select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"]
-        ),
+        lambda df: profile.preview(df, ["o_orderkey"]),
     ),
 }
 
@@ -274,7 +296,7 @@ EXPRESSIONS: Mapping[str, Query] = {
 }
 
 PROFILES: Mapping[str, Query] = {
-    "describe_table": _table("lineitem", lambda df: rounded(profile.describe(_lines_numbers(df)), 4)),
+    "describe_table": _table("lineitem", lambda df: rounded(profile.describe(df), 4)),
     "null_census": _from(warehouse.raw_listings, profile.missing_census),
     "count_by_category": _table(
         "part", lambda df: profile.count_by(df, "p_type").orderBy(F.desc("n"), "p_type")
@@ -313,11 +335,11 @@ TOUR: Mapping[str, Query] = {
     "total_points": _from(warehouse.tour_graph, tour.total_points),
     "overall_winner": _from(warehouse.tour_graph, tour.overall_winner),
     "repeat_pairs": _from(warehouse.tour_graph, tour.repeat_pairs),
-    "ever_won": _from(warehouse.finals_graph, tour.ever_won),
-    "ever_lost": _from(warehouse.finals_graph, tour.ever_lost),
-    "won_and_lost": _from(warehouse.finals_graph, tour.won_and_lost),
-    "never_won": _from(warehouse.finals_graph, tour.never_won),
-    "never_lost": _from(warehouse.finals_graph, tour.never_lost),
+    "ever_won": _from(warehouse.tour_graph, tour.ever_won),
+    "ever_lost": _from(warehouse.tour_graph, tour.ever_lost),
+    "won_and_lost": _from(warehouse.tour_graph, tour.won_and_lost),
+    "never_won": _from(warehouse.tour_graph, tour.never_won),
+    "never_lost": _from(warehouse.tour_graph, tour.never_lost),
     "win_counts": _from(warehouse.tour_graph, tour.win_counts),
     "win_counts_top": _from(warehouse.tour_graph, tour.win_counts_top),
     "pagerank_top": _from(warehouse.tour_graph, lambda g: rounded(tour.pagerank_top(g))),
@@ -367,6 +389,15 @@ PRICES: Mapping[str, Query] = {
     "score_errors": lambda spark, folder: rounded(
         metrics.error_report(_linear_scores(spark, folder), "id")
     ),
+    "linear_pipeline_metrics": lambda spark, folder: rounded(
+        metrics.regression_metrics(_linear_pipeline_scores(spark, folder))
+    ),
+    "forest_metrics": lambda spark, folder: rounded(
+        metrics.regression_metrics(_forest_scores(spark, folder))
+    ),
+    "forest_errors": lambda spark, folder: rounded(
+        metrics.error_report(_forest_scores(spark, folder), "id")
+    ),
     "rf_predict": rf_predict,
     "feature_importance": feature_importance,
     "cv_metrics": cv_metrics,

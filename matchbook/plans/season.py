@@ -21,6 +21,7 @@ from matchbook.operators.components import connected_groups
 from matchbook.operators.graph import PropertyGraph
 from matchbook.operators.profile import count_by
 from matchbook.operators.ranking import best_per_group, top_ranked
+from matchbook.runtime import cut
 
 EVENT = ["tournament", "year"]
 ROUND_ROBIN = "Round Robin"
@@ -172,8 +173,14 @@ def group_qualifiers(graph: PropertyGraph, k: int = 2, winless: bool = True) ->
     A player without a win counts zero wins; without ``winless`` such a player
     cannot qualify, and a group may send fewer than ``k``.
     """
-    wins = group_wins(graph)
-    played = group_players(graph).join(wins, [*EVENT, "id"], "left" if winless else "inner")
+    # The matches are read once; wins and groups both come from who beat whom how often.
+    met, _ = cut(
+        event_round_robin(graph).groupBy(*EVENT, "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    )
+    wins = met.groupBy(*EVENT, F.col("src").alias("id")).agg(F.sum("n").alias("wins"))
+    named = graph.vertices.select("id", "full_name", "nationality")
+    players = connected_groups(met, EVENT).join(named, "id")
+    played = players.join(wins, [*EVENT, "id"], "left" if winless else "inner")
     counted = played.withColumn("wins", F.coalesce("wins", F.lit(0).cast("bigint")))
     return best_per_group(counted, [*EVENT, "group_id"], [F.desc("wins"), F.asc("id")], k)
 

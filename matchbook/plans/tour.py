@@ -98,8 +98,15 @@ def ever_lost(graph: PropertyGraph) -> DataFrame:
 
 
 def won_and_lost(graph: PropertyGraph) -> DataFrame:
-    winners = PropertyGraph(graph.vertices_with("src"), graph.edges)
-    return winners.vertices_with("dst").orderBy("name", "id")
+    """Both ends of an edge come out of one pass over the edges."""
+    ends = F.array(
+        F.struct(F.col("src").alias("id"), F.lit(True).alias("won")),
+        F.struct(F.col("dst").alias("id"), F.lit(False).alias("won")),
+    )
+    played = graph.edges.select(F.explode(ends).alias("end")).select("end.*")
+    both = played.groupBy("id").agg(F.bool_or("won").alias("won"), F.bool_and("won").alias("always"))
+    both = both.filter(F.col("won") & ~F.col("always")).select("id")
+    return graph.vertices.join(both, "id", "left_semi").orderBy("name", "id")
 
 
 def never_won(graph: PropertyGraph) -> DataFrame:

@@ -92,11 +92,6 @@ def _supplier_id(name: str) -> Column:
     return -F.col(name) - 1
 
 
-def finals_graph(spark: SparkSession, folder: str) -> PropertyGraph:
-    """All players, and of the matches only the finals."""
-    return tour_graph(spark, folder, F.col("l_quantity") >= 50)
-
-
 def raw_players(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
     customers = table(spark, folder, "customer").select(

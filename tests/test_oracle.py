@@ -7,6 +7,7 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as registered
+from matchbook.plans import oracle, registry
 
 TABLES = "region nation customer supplier part orders lineitem".split()
 SPARK_TYPE = {
@@ -16,9 +17,11 @@ SPARK_TYPE = {
     "VARCHAR": "string",
     "DATE": "date",
     "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz",
+    "TIMESTAMP_NS": "timestamp_ntz",
 }
-QUERIES = registered.queries()
-SQL = registered.oracle_sql()
+QUERIES = registry.all_queries()
+SQL = oracle.all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -52,8 +55,13 @@ def test_matches_sql(spark, database, name):
     assert found == wanted
 
 
-def test_only_forests_lack_sql():
-    assert set(QUERIES) - set(SQL) == {"rf_predict", "feature_importance", "cv_metrics"}
+def test_only_fitted_pipelines_lack_sql():
+    forests = {"rf_predict", "feature_importance", "cv_metrics", "forest_metrics", "forest_errors"}
+    assert set(QUERIES) - set(SQL) == forests | {"linear_pipeline_metrics"}
+
+
+def test_queries_and_sql_are_registered():
+    assert set(QUERIES) <= set(registered.queries()) and set(SQL) <= set(registered.oracle_sql())
 
 
 def test_entry(spark):

@@ -4,11 +4,11 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-import __spark_entry__ as registered
 from matchbook.operators.graph import PropertyGraph
 from matchbook.operators.ranking import best_per_group
+from matchbook.plans import registry
 
-QUERIES = registered.queries()
+QUERIES = registry.all_queries()
 LOOPS_AND_FITS = {
     "pagerank",
     "pagerank_top",
@@ -24,6 +24,9 @@ LOOPS_AND_FITS = {
     "regression_metrics",
     "score_errors",
     "rf_predict",
+    "linear_pipeline_metrics",
+    "forest_metrics",
+    "forest_errors",
     "feature_importance",
     "cv_metrics",
 }
@@ -55,9 +58,22 @@ def test_no_cross_product_and_no_python(spark, name):
         assert operator not in text
 
 
-@pytest.mark.parametrize("name", ["ever_won", "never_won", "won_and_lost"])
-def test_finals_filter_reaches_the_scan(spark, name):
-    assert "GreaterThanOrEqual(l_quantity" in plan(QUERIES[name](spark, SMALL))
+@pytest.mark.parametrize("name", ["ever_won", "won_and_lost"])
+def test_matches_are_read_once(spark, name):
+    final = plan(QUERIES[name](spark, SMALL), final=True).split("== Initial Plan ==")[0]
+    assert final.count("lineitem.parquet") == 1
+
+
+def test_price_is_parsed_once_a_row(spark):
+    assert plan(QUERIES["prepare_listings"](spark, SMALL)).count("[^0-9.]") == 1
+
+
+def test_rounding_keeps_what_has_no_such_digits(spark):
+    values = [1.0e13, -2.5e14, float("inf"), float("-inf"), float("nan"), None, 1.23456789, -0.1234565]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    found = [r["x"] for r in registry.rounded(df).collect()]
+    assert found[:4] == values[:4] and found[4] != found[4] and found[5] is None
+    assert found[6] == 1.234568 and found[7] == -0.123457
 
 
 def test_stage_filter_runs_before_the_join(spark):
