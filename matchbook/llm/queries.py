@@ -13,6 +13,7 @@ from matchbook.llm import (
     bpe,
     lines,
     nearest,
+    oracle,
     quality,
     repeats,
     rlz,
@@ -100,28 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op3_line_dedup": LINE_DEDUP, "op8_secrets": None, "pipeline": corpus_pipeline.ORACLE_SQL}
-    return {name: sql for name, sql in found.items() if sql}
-
-
-#: Lines are numbered by unnesting; chr(10) parts them.
-LINE_DEDUP = r"""
-WITH split AS (
-  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts
-  FROM documents
-), numbered AS (
-  SELECT doc_id, text, unnest(parts) AS line, unnest(range(len(parts))) AS nth FROM split
-), keyed AS (
-  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
-  FROM numbered
-), frequent AS (
-  SELECT line_key FROM (SELECT DISTINCT doc_id, text, line_key FROM keyed)
-  WHERE length(line_key) >= 1 GROUP BY line_key HAVING count(*) >= 10
-), marked AS (
-  SELECT doc_id, line, nth, line_key IN (SELECT line_key FROM frequent) AS dropped FROM keyed
-)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
-"""
+    return oracle.all_sql() | ({"pipeline": sql} if (sql := corpus_pipeline.ORACLE_SQL) else {})
