@@ -35,18 +35,17 @@ from matchbook.llm.texts import (
     runs,
     same_document,
     word_hashes,
-    word_memo,
 )
+from matchbook.runtime import cut
 
 GRAM = 8
 
 
-def _parse(text: str, window: int, gram: int, rolling: Rolling, memo) -> tuple | None:
+def _parse(text: str, window: int, gram: int, rolling: Rolling) -> tuple | None:
     """Prefix sums, anchors, and the first window of each block and the one after its last."""
-    words = text.encode().split()
-    if len(words) < window:
+    symbols = word_hashes(text.encode(), rolling)
+    if len(symbols) < window:
         return None
-    symbols = word_hashes(words, memo)
     prefix = rolling.prefix(symbols)
     grams = rolling.windows(prefix, gram)
     at = anchors(grams, window - gram + 1)
@@ -61,11 +60,11 @@ def blocks(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        rolling, memo = Rolling(), word_memo()
+        rolling = Rolling()
         for batch in batches:
             of, columns = [], {n: [] for n in ("anchor", "content", "at", "n")}
             for i, text in enumerate(batch["text"].to_pylist()):
-                parsed = _parse(text, window, gram, rolling, memo)
+                parsed = _parse(text, window, gram, rolling)
                 if parsed is None:
                     continue
                 prefix, marks, starts, ends = parsed
@@ -90,13 +89,12 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     """``hash, doc_id, text_key, at`` of every window of the blocks listed in ``places``."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        rolling, memo = Rolling(), word_memo()
+        rolling = Rolling()
         for batch in batches:
             of, hashes, places = [], [], []
             rows = zip(batch["text"].to_pylist(), batch["places"].to_pylist())
             for i, (text, listed) in enumerate(rows):
-                words = text.encode().split()
-                prefix = rolling.prefix(word_hashes(words, memo))
+                prefix = rolling.prefix(word_hashes(text.encode(), rolling))
                 at = np.unique(np.concatenate([np.arange(p["at"], p["at"] + p["n"]) for p in listed]))
                 of.append(np.full(len(at), i))
                 hashes.append(rolling.spans(prefix, at, at + window).view(np.int64))
@@ -118,31 +116,24 @@ def window_factors(docs: DataFrame, window: int = 50, gram: int = GRAM, **column
     ``source`` is the smallest id of all documents that have them, smaller than ``doc_id``.
     """
     keyed = keyed_documents(docs, **columns).filter("doc_id is not null")
-    found = blocks(keyed, window, gram)
-    contents = found.groupBy("anchor", "content").agg(
-        F.min(F.struct("doc_id", "text_key", "at", "n")).alias("first"),
-        F.count(F.lit(1)).alias("rows"),
+    every = blocks(keyed, window, gram)
+    # Anchors that more than one document has; few, so what follows moves little.
+    met = every.groupBy("anchor").agg(
+        F.min("doc_id").alias("low_id"),
+        F.max("doc_id").alias("high_id"),
+        F.min("content").alias("low"),
+        F.max("content").alias("high"),
     )
+    met = met.filter("low_id < high_id").select("anchor", (F.col("low") < F.col("high")).alias("several"))
+    found, _ = cut(every.join(met, "anchor"))
+    contents = found.groupBy("anchor", "content").agg(F.min("doc_id").alias("source"))
 
     # 1. Blocks that an earlier document has as a whole.
-    repeated = contents.filter("rows > 1").select(
-        "anchor", "content", F.col("first.doc_id").alias("source")
-    )
-    shared = found.join(repeated, ["anchor", "content"])
-    whole = shared.filter("source < doc_id").select("doc_id", "text_key", "at", "n", "source")
+    placed = found.join(contents, ["anchor", "content"])
+    whole = placed.filter("source < doc_id").select("doc_id", "text_key", "at", "n", "source")
 
     # 2. Blocks of first holders, where their anchor has other contents.
-    several = contents.groupBy("anchor").agg(
-        F.min("content").alias("low"),
-        F.max("content").alias("high"),
-        F.min("first.doc_id").alias("low_id"),
-        F.max("first.doc_id").alias("high_id"),
-    )
-    several = several.filter("low < high and low_id < high_id").select("anchor")
-    own = contents.filter("rows = 1").select("anchor", "first.*").unionByName(
-        shared.filter("source = doc_id").select("anchor", "doc_id", "text_key", "at", "n")
-    )
-    holders = own.join(several, "anchor")
+    holders = placed.filter("source = doc_id and several")
     listed = holders.groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("at", "n")).alias("places")  # of one document
     )

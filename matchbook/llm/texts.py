@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +22,6 @@ BLANKS = b" \t\n\x0b\x0c\r"
 
 #: Odd, so that it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,14 +104,6 @@ class Memo(dict):
         return key in self or key in self._aside
 
 
-def word_hashes(words: list[bytes], memo: Memo) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
-def word_memo() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
-
-
 class Rolling:
     """Hashes of windows over a sequence of 64-bit symbols, as a polynomial modulo 2**64.
 
@@ -164,6 +154,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[list(BLANKS)] = False
+
+
+def byte_prefix(data: bytes, rolling: Rolling) -> np.ndarray:
+    """Prefix sums over the bytes of a text."""
+    return rolling.prefix(_BYTES[np.frombuffer(data, np.uint8)])
+
+
+def word_hashes(data: bytes, rolling: Rolling) -> np.ndarray:
+    """Hash of each word, from the sums at its ends: no word becomes an object of its own."""
+    inside = _IN_WORD[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    return rolling.spans(byte_prefix(data, rolling), edges[::2], edges[1::2])
+
+
 def anchors(grams: np.ndarray, window: int) -> np.ndarray:
     """Position of the smallest of each ``window`` neighbouring gram hashes (leftmost of equals).
 
@@ -189,11 +196,3 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.flatnonzero(values[1:] != values[:-1]) + 1
     return np.concatenate(([0], edge)), np.concatenate((edge, [len(values)]))
-
-
-def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Which of ``n`` positions lie in a window of ``size`` from one of the starts."""
-    depth = np.zeros(n + 1, np.int64)
-    np.add.at(depth, starts, 1)
-    np.add.at(depth, np.minimum(starts + size, n), -1)
-    return np.cumsum(depth[:n]) > 0
