@@ -7,9 +7,13 @@ with a count, before the shuffle. The texts of the blocks left are dealt to shar
 anchor, and each shard is sorted by external induction with common prefixes
 (``induced``): a window whose suffix shares ``size`` bytes with a neighbour's repeats.
 
+A window has half of its other bytes on one side of its anchor, so only blocks that
+share those bytes with another block, on either side, are sorted at all.
+
 An anchor with very many different blocks (the border of a passage that a large share
-of all documents has) isn't sorted in one shard: the windows of its blocks are dealt by
-their own hashes, and counted before the shuffle.
+of all documents has) isn't sorted in one shard: its blocks are cut into short ones at
+fixed places from the anchor, which collapse like blocks do, and of those that are left
+the windows are dealt by their own hashes.
 """
 
 from __future__ import annotations
@@ -23,36 +27,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.induced import repeated_positions
-from matchbook.llm.texts import Rolling, anchors, keyed_documents, map_rows, mix, runs, same_document
+from matchbook.llm.texts import Rolling, anchors, byte_prefix, keyed_documents, map_rows, runs, same_document
 from matchbook.runtime import cut
 
 GRAM = 32
 #: Windows looked at together in a long text.
 CHUNK = 1 << 20
-
-_SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _prefix(data: bytes, rolling: Rolling) -> np.ndarray:
-    return rolling.prefix(_SYMBOLS[np.frombuffer(data, np.uint8)])
+#: Windows in the short blocks of a hot anchor.
+STEP = 8
 
 
 def _blocks_of(data: bytes, size: int, rolling: Rolling) -> Iterator[tuple[np.ndarray, ...]]:
-    """``anchor, content, at, n`` of the blocks of a text, in chunks of its windows.
+    """``anchor, content, at, n, left, right`` of the blocks of a text, in chunks of its windows.
 
     Where a chunk ends a block is cut in two; its windows still have the same anchor.
+    ``left`` and ``right`` are hashes of the anchor with the half window on that side of
+    it; where a block has no so many bytes there, its content stands in, which no
+    other block of the anchor has.
     """
+    half = (size - GRAM) // 2
     for low in range(0, len(data) - size + 1, CHUNK):
-        prefix = _prefix(data[low : low + CHUNK + size - 1], rolling)
+        prefix = byte_prefix(data[low : low + CHUNK + size - 1], rolling)
         grams = rolling.windows(prefix, GRAM)
         at = anchors(grams, size - GRAM + 1)
         starts, ends = runs(at)
-        content = rolling.spans(prefix, starts, ends - 1 + size)
-        yield grams[at[starts]].view(np.int64), content.view(np.int64), low + starts, ends - starts
+        place, stops = at[starts], ends - 1 + size
+        content = rolling.spans(prefix, starts, stops)
+        left, right = content.copy(), content.copy()
+        whole = place - half >= starts
+        left[whole] = rolling.spans(prefix, place[whole] - half, place[whole] + GRAM)
+        whole = place + GRAM + half <= stops
+        right[whole] = rolling.spans(prefix, place[whole], place[whole] + GRAM + half)
+        hashes = (h.view(np.int64) for h in (grams[place], content, left, right))
+        anchor, content, left, right = hashes
+        yield anchor, content, low + starts, ends - starts, left, right
 
 
 def blocks(keyed: DataFrame, size: int) -> DataFrame:
-    """``anchor, content, doc_id, text_key, at, n``: ``n`` windows from byte ``at`` on."""
+    """``anchor, content, doc_id, text_key, at, n, left, right``: ``n`` windows from byte ``at`` on."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         rolling = Rolling()
@@ -66,41 +78,85 @@ def blocks(keyed: DataFrame, size: int) -> DataFrame:
                 continue
             take = pa.array(np.concatenate(of))
             columns = [np.concatenate(c) for c in zip(*found)]
-            yield dict(zip(("anchor", "content", "at", "n"), columns)) | {
+            yield dict(zip(("anchor", "content", "at", "n", "left", "right"), columns)) | {
                 n: batch[n].take(take) for n in ("doc_id", "text_key")
             }
 
-    schema = "anchor long, content long, doc_id long, text_key long, at long, n int"
+    schema = (
+        "anchor long, content long, doc_id long, text_key long, at long, n int, left long, right long"
+    )
     return map_rows(keyed, run, schema)
 
 
+def _short_blocks(data: bytes, size: int, rolling: Rolling) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """``part, at, content, hashes`` of a block cut at fixed places from its anchor."""
+    prefix = byte_prefix(data, rolling)
+    span = size - GRAM + 1
+    anchor = int(anchors(rolling.windows(prefix, GRAM)[:span], span)[0])
+    windows = rolling.windows(prefix, size)
+    part = (np.arange(len(windows)) - anchor) // STEP
+    starts, ends = runs(part)
+    contents = rolling.spans(rolling.prefix(windows), starts, ends).view(np.int64)
+    for a, b, content in zip(starts.tolist(), ends.tolist(), contents.tolist()):
+        yield int(part[a]), a, content, windows[a:b].view(np.int64)
+
+
 def _block_texts(texts: DataFrame, size: int) -> DataFrame:
-    """Rows of ``places`` with their text, or the hashes of their windows if ``hot``."""
+    """Rows of ``places`` with their text, or those of ``hot`` anchors as short blocks.
+
+    Short blocks have ``part`` and ``content``, and the ``hashes`` of their windows.
+    """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         rolling = Rolling()
         for batch in batches:
-            of, places, data, hashes = [], [], [], []
+            of, rows = [], []
             for i, (text, listed) in enumerate(zip(batch["text"].to_pylist(), batch["places"].to_pylist())):
                 raw = text.encode()
                 for p in listed:
-                    part = raw[p["at"] : p["at"] + p["n"] - 1 + size]
-                    of.append(i)
-                    places.append(p)
-                    data.append(None if p["hot"] else part)
-                    windows = rolling.windows(_prefix(part, rolling), size) if p["hot"] else None
-                    hashes.append(None if windows is None else windows.view(np.int64))
+                    data = raw[p["at"] : p["at"] + p["n"] - 1 + size]
+                    if not p["hot"]:
+                        rows.append((p["anchor"], p["at"], p["n"], p["repeated"], data, None, None, None))
+                        of.append(i)
+                        continue
+                    for part, at, content, hashes in _short_blocks(data, size, rolling):
+                        place = p["at"] + at
+                        rows.append((p["anchor"], place, len(hashes), p["repeated"], None, part, content, hashes))
+                        of.append(i)
             take = pa.array(of, pa.int64())
+            names = ("anchor", "at", "n", "repeated", "data", "part", "content", "hashes")
             yield {n: batch[n].take(take) for n in ("doc_id", "text_key")} | {
-                n: [p[n] for p in places] for n in ("anchor", "at", "n", "repeated")
-            } | {"data": data, "hashes": hashes}
+                n: [row[k] for row in rows] for k, n in enumerate(names)
+            }
 
     schema = (
-        "doc_id long, text_key long, anchor long, at long, n int, repeated boolean, data binary, hashes array<long>"
+        "doc_id long, text_key long, anchor long, at long, n int, repeated boolean, data binary, "
+        "part int, content long, hashes array<long>"
     )
     return map_rows(texts, run, schema)
 
 
+def _hot_windows(short: DataFrame) -> DataFrame:
+    """``doc_id, text_key, at, n``: repeated windows of short blocks, of rows not ``repeated`` whole."""
+    key = ["anchor", "part", "content"]
+    row = F.struct("doc_id", "text_key", "at", "n", "repeated", "hashes")
+    contents = short.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.first(row).alias("one"))
+    several = contents.filter("rows > 1").select(*key)
+    whole = short.filter("not repeated").join(several, key).select("doc_id", "text_key", "at", "n")
+    windows = contents.select(
+        "one.doc_id",
+        "one.text_key",
+        "one.at",
+        (F.col("one.repeated") | (F.col("rows") > 1)).alias("done"),
+        F.posexplode("one.hashes").alias("nth", "hash"),
+    )
+    counts = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    single = windows.filter("not done").join(counts, "hash").select(
+        "doc_id", "text_key", (F.col("at") + F.col("nth")).alias("at"), F.lit(1).alias("n")
+    )
+    return whole.unionByName(single)
+
+
 def _sorted_shards(rows: DataFrame, size: int, budget: int) -> DataFrame:
     """``doc_id, text_key, at, n``: repeated windows of the blocks that are not repeated whole."""
 
@@ -154,20 +210,32 @@ def repeated_windows(
     keyed = keyed_documents(docs, **columns)
     found = blocks(keyed, size)
     contents = found.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "text_key", "at", "n")).alias("first")
+        F.count(F.lit(1)).alias("rows"),
+        F.min(F.struct("doc_id", "text_key", "at", "n")).alias("first"),
+        F.min("left").alias("left"),  # equal for equal contents
+        F.min("right").alias("right"),
     )
     whole = found.join(
         contents.filter(F.col("rows") > 1).select("anchor", "content"), ["anchor", "content"]
     ).select("doc_id", "text_key", "at", "n")
 
-    # One holder of each content, where an anchor has several.
+    # One holder of each content, where an anchor has several that share a side.
     several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1")
-    holders = contents.join(several, "anchor").select(
-        "anchor",
-        "first.*",
-        (F.col("rows") > 1).alias("repeated"),
-        (F.col("contents") > hot_blocks).alias("hot"),
+    holders, _ = cut(
+        contents.join(several, "anchor").select(
+            "anchor",
+            "left",
+            "right",
+            "first.*",
+            (F.col("rows") > 1).alias("repeated"),
+            (F.col("contents") > hot_blocks).alias("hot"),
+        )
     )
+    for side in ("left", "right"):
+        shared = holders.groupBy("anchor", side).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = shared.select("anchor", side, F.lit(True).alias(f"shares_{side}"))
+        holders = holders.join(shared, ["anchor", side], "left")
+    holders = holders.filter("shares_left or shares_right")
     listed = holders.groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("anchor", "at", "n", "repeated", "hot")).alias("places")  # of one document
     )
@@ -175,22 +243,15 @@ def repeated_windows(
         keyed["doc_id"], keyed["text_key"], "text", "places"
     )
     pieces, seen = cut(
-        _block_texts(texts, size), bytes=F.sum(F.length("data")), hot=F.count("hashes")
+        _block_texts(texts, size), bytes=F.sum(F.length("data")), hot=F.count("part")
     )
     shards = max(1, -(-(seen["bytes"] or 0) // shard_bytes))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.filter(F.col("data").isNotNull()).drop("hashes")
+    dealt = pieces.filter(F.col("data").isNotNull()).drop("part", "content", "hashes")
     single = _sorted_shards(dealt.repartition(max(shards, width), "anchor"), size, budget)
     out = whole.unionByName(single)
     if seen["hot"]:
-        windows = pieces.filter(F.col("hashes").isNotNull()).select(
-            "doc_id", "text_key", "repeated", "at", F.posexplode("hashes").alias("nth", "hash")
-        )
-        counts = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-        hot = windows.filter(~F.col("repeated")).join(counts, "hash").select(
-            "doc_id", "text_key", (F.col("at") + F.col("nth")).alias("at"), F.lit(1).alias("n")
-        )
-        out = out.unionByName(hot)
+        out = out.unionByName(_hot_windows(pieces.filter(F.col("part").isNotNull()).drop("data")))
     return out
 
 
