@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,20 +86,46 @@ def _sample(labels: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def _cells(x: Column) -> Column:
+    return F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
+
+
+def _surprise(n: Column, hits: Column, total: int, positives: float) -> Column:
+    """Log-likelihood ratio of a feature and a target: how little chance explains of their meeting."""
+    inner = _cells(hits) + _cells(n - hits) + _cells(F.lit(positives) - hits)
+    inner += _cells(F.lit(float(total) - positives) - n + hits)
+    outer = _cells(n) + _cells(F.lit(float(total)) - n) + _cells(F.lit(positives))
+    return 2 * (inner - outer - _cells(F.lit(float(total) - positives)) + _cells(F.lit(float(total))))
+
+
+def _vocabulary(rows: DataFrame, n: int, seen: dict, most: int, least: float) -> list[str]:
+    """The ``most`` features that say most about either target, at least ``least`` each."""
+    counts = rows.select(F.explode("found").alias("name"), *TARGETS).groupBy("name").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(t).alias(t) for t in TARGETS)
+    )
+    worth = F.greatest(*(_surprise(F.col("n"), F.col(t), n, seen[t]) for t in TARGETS))
+    ranked = counts.select("name", worth.alias("worth")).filter(F.col("worth") >= least)
+    # At most ``most`` names.
+    return [r["name"] for r in ranked.orderBy(F.desc("worth"), "name").limit(most).collect()]
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_labelled: int = 20_000,
-    vocabulary: int = 1 << 16,
-    penalty: float = 0.002,
+    vocabulary: int = 4096,
+    least: float = 12.0,
+    penalty: float = 0.0005,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
     """Train on at most ``max_labelled`` labelled rows, whatever the size of the tables.
 
     Labels are ``doc_id, quality (1 good), toxic (1 toxic)``; null ids and rows without either are
-    passed over, a null label counts as the good one. Without labels, or with labels
-    of one kind, the model has no weights and the share of that kind as its answer.
+    passed over, a null label counts as the good one. Of all features of the sample, at
+    most ``vocabulary`` whose log-likelihood ratio with a target reaches ``least`` enter
+    the models. Without labels, or with labels of one kind, the model has no weights
+    and the share of that kind as its answer.
     """
     # The sample is bounded, so it may go to every task.
     sample = F.broadcast(_sample(labels, max_labelled))
@@ -117,17 +143,17 @@ def fit(
     n = seen["n"]
     if not n:
         return Model({}, (-4.0, -4.0))
-    if all(seen[t] in (0, n) for t in TARGETS):
-        return Model({}, tuple(_logit((seen[t] + 0.5) / (n + 1)) for t in TARGETS))
-    counted = CountVectorizer(
-        inputCol="found", outputCol="features", binary=True, minDF=3.0, vocabSize=vocabulary
-    ).fit(rows)
-    points, _ = cut(counted.transform(rows).select("features", *TARGETS))
+    names = _vocabulary(rows, n, seen, vocabulary, least)
+    shares = tuple(_logit((seen[t] + 0.5) / (n + 1)) for t in TARGETS)
+    if not names:
+        return Model({}, shares)
+    counted = CountVectorizerModel.from_vocabulary(names, inputCol="found", outputCol="features")
+    points, _ = cut(counted.setBinary(True).transform(rows).select("features", *TARGETS))
     weights: dict[str, list[float]] = {}
     intercepts = []
     for i, target in enumerate(TARGETS):
         if seen[target] in (0, n):
-            intercepts.append(_logit((seen[target] + 0.5) / (n + 1)))
+            intercepts.append(shares[i])
             continue
         line = LogisticRegression(
             labelCol=target, elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60
@@ -135,7 +161,7 @@ def fit(
         intercepts.append(float(line.intercept))
         values = line.coefficients.toArray()
         for j in np.flatnonzero(values).tolist():
-            weights.setdefault(counted.vocabulary[j], [0.0, 0.0])[i] = float(values[j])
+            weights.setdefault(names[j], [0.0, 0.0])[i] = float(values[j])
     return Model({k: tuple(v) for k, v in weights.items()}, tuple(intercepts))
 
 
