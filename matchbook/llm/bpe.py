@@ -29,6 +29,15 @@ PRETOKENS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 
+#: Each is a pre-token of its own between a letter and a space.
+_ENDS = frozenset(".,;:!?")
+
+
+def _letters(text: str) -> bool:
+    """Only letters, and only such as every version of Unicode calls so: one pre-token."""
+    return text.isalpha() and max(text) < "\u0250"
+
+
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -71,15 +80,19 @@ class Chunks:
         pieces: set[str] = set()
         for text in texts:
             pieces.update(text.split(" "))
-        new = [
-            p
-            for p in pieces
-            if not self._inner.holds(p)
-            and 0 < len(p) <= self._longest
-            and not (p[0].isspace() or p[-1].isspace())
-        ]
+        wanted, ended = set(), []
+        for piece in self._inner.lacks(pieces):
+            if not 0 < len(piece) <= self._longest or piece[0].isspace() or piece[-1].isspace():
+                continue
+            if piece[-1] in _ENDS and _letters(piece[:-1]):
+                ended.append(piece)
+                piece = piece[:-1]
+            wanted.add(piece)
+        new = self._inner.lacks(wanted)
         for piece, ids in zip(new, self._many([" " + p for p in new])):
             self._inner.put(piece, ids)
+        for piece in ended:
+            self._inner.put(piece, self._inner[piece[:-1]] + self._first[piece[-1]])
 
     def _plain(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
@@ -210,7 +223,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids; texts of special tokens give their ids."""
-        if text.removeprefix(" ").isalpha():  # one pre-token
+        if _letters(text.removeprefix(" ")):
             return array("I", self.merge(text)).tobytes()
         out: list[int] = []
         at = 0

@@ -100,8 +100,9 @@ class Memo(dict):
             self.clear()
         self[key] = value
 
-    def holds(self, key) -> bool:
-        return key in self or key in self._aside
+    def lacks(self, keys: set) -> list:
+        aside = self._aside
+        return [k for k in keys if k not in self and k not in aside]
 
 
 class Rolling:
