@@ -7,9 +7,15 @@ into its own bucket and then into buckets next to it, in the order in which they
 are likely to hold near vectors: by the sum of squared distances to the borders
 that lie between. All candidates of a bucket are ranked by the exact measure.
 
-Cell width, number of projections and number of probes are fitted on a bounded
-sample; all vectors are indexed. Buckets are read as blocks of bounded size, so a
-bucket with a third of all vectors is many tasks' work.
+A short vector is made longer mostly by the added component, which moves it away from
+all queries. So vectors are split into ranges of norms, at most two to one, each with
+an index of its own. Cell width, number of projections and number of probes are
+fitted on a bounded sample of each range; all vectors are indexed. Buckets are read
+as blocks of bounded size, so a bucket with a third of all vectors is many tasks' work.
+
+Three things are looked through in full, block by block: ranges of few vectors, ranges
+where a bounded number of probes misses the recall asked for, and everything for
+queries that have met fewer than ``k`` vectors.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.texts import map_rows
-from matchbook.runtime import cut
+from matchbook.runtime import cut, shuffle_width
+
+#: A probe moves at most so many cells along a projection.
+_FAR = 4
 
 
 @dataclass(frozen=True)
@@ -74,30 +84,33 @@ def bucket_hash(cells: np.ndarray) -> np.ndarray:
 def probe_cells(place: np.ndarray, probes: int) -> np.ndarray:
     """The first ``probes`` cells by estimated success for a query at ``place``.
 
-    Each projection may stay or move one cell down or up; a move costs the squared
-    distance to the border. Sets of moves come in the order of their cost: from a
-    set, the next ones move its last step on or add one more.
+    Each projection may stay or move up to ``_FAR`` cells down or up; a move costs the
+    squared distance to the border it ends at. Sets of moves come in the order of their
+    cost: from a set, the next ones move its last step on or add one more.
     """
     base = np.floor(place)
     inside = place - base
-    costs = np.concatenate([inside**2, (1 - inside) ** 2])
-    order = np.argsort(costs, kind="stable")
     size = len(place)
+    costs = np.concatenate([side + n for n in range(_FAR) for side in (inside, 1 - inside)]) ** 2
+    shifts = [sign * n for n in range(1, _FAR + 1) for sign in (-1, 1) for _ in range(size)]
+    order = np.argsort(costs, kind="stable").tolist()
+    ranked = costs[order].tolist()
     out = [base]
-    heap = [(float(costs[order[0]]), (0,))]
+    heap = [(ranked[0], (0,))]
     while heap and len(out) < probes:
         cost, steps = heapq.heappop(heap)
         last = steps[-1]
         if last + 1 < len(order):
-            step = float(costs[order[last + 1]])
-            heapq.heappush(heap, (cost - float(costs[order[last]]) + step, (*steps[:-1], last + 1)))
-            heapq.heappush(heap, (cost + step, (*steps, last + 1)))
-        moves = [int(order[s]) for s in steps]
+            step = ranked[last + 1]
+            heapq.heappush(heap, (cost - ranked[last] + step, (*steps[:-1], last + 1)))
+            if len({order[s] % size for s in steps}) == len(steps):
+                heapq.heappush(heap, (cost + step, (*steps, last + 1)))
+        moves = [order[s] for s in steps]
         if len({m % size for m in moves}) < len(moves):
-            continue  # down and up at once
+            continue  # two moves along one projection
         cell = base.copy()
         for m in moves:
-            cell[m % size] += -1 if m < size else 1
+            cell[m % size] += shifts[m]
         out.append(cell)
     return np.array(out)
 
@@ -110,29 +123,30 @@ def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sample_arrays(df: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    # At most ``most`` vectors.
-    rows = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect()
-    return np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows], np.float64)
+def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)
 
 
 def fit(
-    vectors: DataFrame,
+    ids: np.ndarray,
+    data: np.ndarray,
+    asked_ids: np.ndarray,
+    asked: np.ndarray,
     k: int,
     n_rows: int,
     longest: float,
     tables: int = 4,
-    sample: int = 4096,
     bucket_rows: int = 256,
     recall: float = 0.97,
+    most_probes: int = 4096,
     seed: int = 7,
-) -> Tables:
-    """Projections, and as many probes as reach ``recall`` on a sample of at most ``sample`` vectors.
+) -> Tables | None:
+    """Projections, and as many probes as reach ``recall`` for the queries on a sample of one range.
 
     The more rows, the more projections: about ``bucket_rows`` in a bucket. Neighbours in
     a sample are farther off than among all vectors, so its recall is a low estimate.
+    None if the recall takes more than ``most_probes``.
     """
-    _, data = _sample_arrays(vectors, sample)
     rng = np.random.default_rng(seed)
     dimension = data.shape[1] + 1
     # A projection whose cells are as wide as the spread parts the data in about three.
@@ -141,24 +155,67 @@ def fit(
     points = _extended(data, longest)
     width = float(np.einsum("tkd,nd->tnk", directions, points).std(1).mean() * 2) or 1.0
     made = Tables(directions, rng.random((tables, size)), width, 1, longest)
-    asked = data[: min(200, len(data))]
     scores = asked @ data.T
-    scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(data) - 1)]
-    if not near.size:
-        return Tables(directions, made.offsets, width, 1, longest)
+    scores[asked_ids[:, None] == ids[None, :]] = -np.inf
+    near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    real = np.isfinite(np.take_along_axis(scores, near, 1))
+    if not real.any():
+        return None
     buckets = bucket_hash(np.floor(made.cells(points)))
     places = made.cells(_query_side(asked, longest))
     probes = 8
-    while True:
+    while probes <= most_probes:
         hits = np.zeros(near.shape, bool)
         for t in range(tables):
             for q in range(len(asked)):
                 looked = bucket_hash(probe_cells(places[t, q], probes))
                 hits[q] |= np.isin(buckets[t][near[q]], looked)
-        if hits.mean() >= recall or probes >= 3**size:
+        if hits[real].mean() >= recall:
             return Tables(directions, made.offsets, width, probes, longest)
         probes *= 2
+    return None
+
+
+def _ranges(
+    own: DataFrame, is_query: Column, k: int, sample: int = 4096, small: int = 1024, **options
+) -> tuple[DataFrame, dict[int, Tables], dict[int, int], int]:
+    """``own`` with its ``range``, the tables by range, rows by range, and the number of queries.
+
+    Ranges of up to ``small`` rows, and those no tables fit, have none.
+    """
+    by_hash = [F.xxhash64("vec_id"), "vec_id"]
+    # At most ``sample`` norms, and 200 queries.
+    norms = [r["norm"] for r in own.orderBy(*by_hash).select("norm").limit(sample).collect()]
+    # Borders lie halfway, so that vectors of one length are in one range.
+    place = F.log2(F.col("norm") / float(np.median(norms))) + 0.5
+    own = own.withColumn("range", F.floor(place).cast("int"))
+    asked_ids, asked = _arrays(own.filter(is_query).orderBy(*by_hash).limit(200).collect())
+    # Numbers of single precision have fewer than 300 powers of two.
+    found = own.groupBy("range").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("norm").alias("longest"),
+        F.count(F.when(is_query, 1)).alias("queries"),
+    ).collect()
+    counts = {r["range"]: r["n"] for r in found}
+    large = [r for r in found if r["n"] > small]
+    tables: dict[int, Tables] = {}
+    if large and len(asked):
+        each = max(256, min(sample, 2 * sample // len(large)))
+        steps = 1 << 30
+        least = F.create_map(
+            *(F.lit(x) for r in large for x in (r["range"], min(steps, int(1.1 * steps * each / r["n"]))))
+        )
+        # About ``each`` rows of a range: ids differ, so their hashes spread.
+        drawn = own.filter(F.pmod(F.xxhash64("vec_id"), F.lit(steps)) < least[F.col("range")])
+        rows: dict[int, list] = {}
+        for r in drawn.orderBy(*by_hash).collect():
+            rows.setdefault(r["range"], []).append(r)
+        for r in large:
+            ids, data = _arrays(rows.get(r["range"], [])[:each])
+            longest = r["longest"] * (1 + 1e-9)
+            if len(ids) and (t := fit(ids, data, asked_ids, asked, k, r["n"], longest, **options)):
+                tables[r["range"]] = t
+    return own, tables, counts, sum(r["queries"] for r in found)
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -166,47 +223,102 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, dimension)
 
 
-def index_rows(vectors: DataFrame, tables: Tables, dimension: int) -> DataFrame:
-    """``table, bucket, vec_id, v``: every vector in its bucket of every table."""
-    n_tables = len(tables.directions)
+def index_rows(vectors: DataFrame, tables: dict[int, Tables], dimension: int) -> DataFrame:
+    """``range, table, bucket, vec_id, v``: every vector in its bucket of every table of its range."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            data = _matrix(batch["v"], dimension)
-            if not len(data):
-                continue
-            buckets = bucket_hash(np.floor(tables.cells(_extended(data, tables.longest))))
-            for t in range(n_tables):
-                yield {
-                    "table": np.full(len(data), t),
-                    "bucket": buckets[t],
-                    "vec_id": batch["vec_id"],
-                    "v": batch["v"],
-                }
+            data, ranges = _matrix(batch["v"], dimension), batch["range"].to_numpy()
+            for r in np.unique(ranges).tolist():
+                at = np.flatnonzero(ranges == r)
+                buckets = bucket_hash(np.floor(tables[r].cells(_extended(data[at], tables[r].longest))))
+                for t in range(len(buckets)):
+                    yield {
+                        "range": np.full(len(at), r),
+                        "table": np.full(len(at), t),
+                        "bucket": buckets[t],
+                        "vec_id": batch["vec_id"].take(pa.array(at)),
+                        "v": batch["v"].take(pa.array(at)),
+                    }
 
-    return map_rows(vectors, run, "table int, bucket long, vec_id long, v array<float>")
+    return map_rows(vectors, run, "range int, table int, bucket long, vec_id long, v array<float>")
 
 
-def probe_rows(queries: DataFrame, tables: Tables, dimension: int) -> DataFrame:
-    """``table, bucket, vec_id, v``: every query in each bucket that it looks into."""
+def probe_rows(queries: DataFrame, tables: dict[int, Tables], dimension: int) -> DataFrame:
+    """``range, table, bucket, vec_id, v``: every query in each bucket that it looks into."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             data = _matrix(batch["v"], dimension)
             if not len(data):
                 continue
-            places = tables.cells(_query_side(data, tables.longest))
-            for t in range(len(tables.directions)):
-                looked = [bucket_hash(probe_cells(p, tables.probes)) for p in places[t]]
-                take = pa.array(np.repeat(np.arange(len(data)), [len(x) for x in looked]))
-                yield {
-                    "table": np.full(len(take), t),
-                    "bucket": np.concatenate(looked),
-                    "vec_id": batch["vec_id"].take(take),
-                    "v": batch["v"].take(take),
-                }
+            for r, fitted in tables.items():
+                places = fitted.cells(_query_side(data, fitted.longest))
+                for t in range(len(places)):
+                    looked = [bucket_hash(probe_cells(p, fitted.probes)) for p in places[t]]
+                    take = pa.array(np.repeat(np.arange(len(data)), [len(x) for x in looked]))
+                    yield {
+                        "range": np.full(len(take), r),
+                        "table": np.full(len(take), t),
+                        "bucket": np.concatenate(looked),
+                        "vec_id": batch["vec_id"].take(take),
+                        "v": batch["v"].take(take),
+                    }
+
+    return map_rows(queries, run, "range int, table int, bucket long, vec_id long, v array<float>")
+
+
+_KEY = ["range", "table", "bucket", "block"]
 
-    return map_rows(queries, run, "table int, bucket long, vec_id long, v array<float>")
+
+def _in_buckets(data: DataFrame, asked: DataFrame, block_rows: int) -> DataFrame:
+    """Vectors and the queries that look into their bucket, side by side.
+
+    Buckets come as blocks of bounded size: vectors go to one block, queries to all of the bucket.
+    """
+    bucket = _KEY[:3]
+    sizes = data.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
+    blocks = sizes.select(*bucket, F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    held = data.join(blocks, bucket).withColumn(
+        "block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    )
+    wanted = asked.join(blocks, bucket).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    names = [*_KEY, "vec_id", "v"]
+    return held.select(*names, F.lit(0).alias("role")).unionByName(
+        wanted.select(*names, F.lit(1).alias("role"))
+    )
+
+
+def _in_full(data: DataFrame, asked: DataFrame, n_rows: int, n_asked: int, block_rows: int) -> DataFrame:
+    """Every vector beside every query: each block of vectors meets each block of queries once."""
+    width = shuffle_width(data.sparkSession)
+    # Large blocks repeat few rows; small tables have enough blocks for all tasks.
+    blocks = max(1, -(-n_rows // (32 * block_rows)), min(width, -(-n_rows // block_rows)))
+    parts = max(1, -(-n_asked // (16 * block_rows)))
+
+    def rows(df: DataFrame, own: str, n_own: int, other: str, n_other: int, role: int) -> DataFrame:
+        spread = df.select(
+            "vec_id",
+            "v",
+            F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
+        )
+        # No range has this table.
+        return spread.select(
+            F.lit(0).alias("range"),
+            F.lit(-1).alias("table"),
+            F.col("part").cast("long").alias("bucket"),
+            "block",
+            "vec_id",
+            "v",
+            F.lit(role).alias("role"),
+        )
+
+    return rows(data, "block", blocks, "part", parts, 0).unionByName(
+        rows(asked, "part", parts, "block", blocks, 1)
+    )
 
 
 class _Best:
@@ -253,60 +365,9 @@ def _rank(best: _Best, ids: np.ndarray, data: np.ndarray, queries: list, k: int)
             best.add(query, ids[others], scores)
 
 
-def search(
-    vectors: DataFrame,
-    is_query: Column,
-    k: int = 20,
-    block_rows: int = 2048,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-    **options,
-) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` largest inner products found for each query.
-
-    ``is_query`` (a column over ``vec_id``) marks the rows to ask for; all other rows are
-    candidates, and so are other queries. Ties go to the smaller id. Vectors that are
-    null, zero, of another length than most, or hold null or non-finite components
-    take no part; nor do rows with a null id. Rows that repeat an id and vector are one;
-    of different vectors with one id the smallest stands for it. Fewer than ``k`` other vectors are all returned.
-    """
-    spark = vectors.sparkSession
-    own = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")
-    )
-    own = own.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    own = own.groupBy("vec_id").agg(F.min("v").alias("v"))
-    own, _ = cut(own)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    # One row per dimension that occurs; the most frequent is the one.
-    sizes = own.groupBy(F.size("v").alias("size")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest")
-    )
-    common = sizes.orderBy(F.desc("n"), "size").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return spark.createDataFrame([], schema)
-    dimension = common["size"]
-    own = own.filter(F.size("v") == dimension)
-    tables = fit(own, k, common["n"], common["longest"] * (1 + 1e-9), **options)
-    data = index_rows(own, tables, dimension)
-    asked = probe_rows(own.filter(is_query), tables, dimension)
-
-    # Buckets as blocks of bounded size: vectors go to one block, queries to all of the bucket.
-    sizes = data.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    blocks = sizes.select("table", "bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    held = data.join(blocks, ["table", "bucket"]).withColumn(
-        "block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    )
-    wanted = asked.join(blocks, ["table", "bucket"]).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    )
-    names = ["table", "bucket", "block", "vec_id", "v"]
-    met = held.select(*names, F.lit(0).alias("role")).unionByName(
-        wanted.select(*names, F.lit(1).alias("role"))
-    )
-    key = ["table", "bucket", "block"]
-    met = met.repartition(*key).sortWithinPartitions(*key, "role")
+def _lists(met: DataFrame, k: int, dimension: int) -> DataFrame:
+    """``query_id, vec_id, score``: the ``k`` nearest of each query in what each task has met."""
+    met = met.repartition(*_KEY).sortWithinPartitions(*_KEY, "role")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         best, current = _Best(k), None
@@ -320,7 +381,7 @@ def search(
             waiting.clear()
 
         for batch in batches:
-            place = np.stack([batch[n].to_numpy() for n in (*key, "role")])
+            place = np.stack([batch[n].to_numpy() for n in (*_KEY, "role")])
             if not place.shape[1]:
                 continue
             data, vec_ids = _matrix(batch["v"], dimension), batch["vec_id"].to_numpy()
@@ -344,13 +405,77 @@ def search(
         settle()
         yield best.rows()
 
-    found = map_rows(met, run, "query_id long, vec_id long, score double")
+    return map_rows(met, run, "query_id long, vec_id long, score double")
+
+
+def _merged(lists: list[DataFrame], k: int) -> DataFrame:
+    """``query_id, found``: the ``k`` nearest of each query over all lists, nearest first."""
     # At most k rows of a query from each task.
+    found = reduce(DataFrame.unionByName, lists)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    nearest = found.groupBy("query_id").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("found")
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id")))
+    return found.groupBy("query_id").agg(F.slice(ranked, 1, k).alias("found"))
+
+
+def search(
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = 20,
+    block_rows: int = 2048,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    **options,
+) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` largest inner products found for each query.
+
+    ``is_query`` (a column over ``vec_id``) marks the rows to ask for; all other rows are
+    candidates, and so are other queries. Ties go to the smaller id. Vectors that are
+    null, zero, of another length than most, or hold null or non-finite components
+    take no part; nor do rows with a null id. Rows that repeat an id and vector are one;
+    of different vectors with one id the smallest stands for it. Fewer than ``k`` other vectors are all returned.
+    """
+    spark = vectors.sparkSession
+    own = vectors.select(
+        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")
     )
-    return nearest.select("query_id", F.posexplode("found").alias("at", "one")).select(
+    own = own.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    own = own.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("norm", norm)
+    own, _ = cut(own)
+    # One row per dimension that occurs; the most frequent is the one.
+    sizes = own.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    common = sizes.orderBy(F.desc("n"), "size").first()
+    schema = "query_id long, rank int, vec_id long, score double"
+    if common is None:
+        return spark.createDataFrame([], schema)
+    dimension = common["size"]
+    own = own.filter(F.size("v") == dimension)
+    own, tables, counts, n_asked = _ranges(own, is_query, k, **options)
+    asked = own.filter(is_query)
+
+    # Ranges without tables are looked through in full.
+    full = sorted(counts.keys() - tables.keys())
+    met = []
+    if tables:
+        indexed = own.filter(F.col("range").isin(sorted(tables)))
+        met.append(_in_buckets(index_rows(indexed, tables, dimension), probe_rows(asked, tables, dimension), block_rows))
+    if full:
+        rest = own.filter(F.col("range").isin(full))
+        met.append(_in_full(rest, asked, sum(counts[r] for r in full), n_asked, block_rows))
+    lists = [_lists(m, k, dimension) for m in met]
+    found = _merged(lists, k)
+    if tables:
+        # Queries that met too few vectors look at all of them.
+        found, _ = cut(found)
+        least = min(k, common["n"] - 1)
+        enough = found.filter(F.size("found") >= least)
+        short, seen = cut(
+            asked.join(enough, asked["vec_id"] == enough["query_id"], "left_anti"), n=F.count(F.lit(1))
+        )
+        if seen["n"]:
+            again = _in_full(own, short, common["n"], seen["n"], block_rows)
+            found = enough.unionByName(_merged([_lists(again, k, dimension)], k))
+    return found.select("query_id", F.posexplode("found").alias("at", "one")).select(
         "query_id",
         (F.col("at") + 1).cast("int").alias("rank"),
         F.col("one.vec_id").alias("vec_id"),

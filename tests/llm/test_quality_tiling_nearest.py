@@ -210,3 +210,44 @@ def test_few_or_no_vectors(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found] == [(0, 1, 1, 4.0), (0, 2, 2, 0.0)]
     alone = few.filter("vec_id = 0")
     assert nearest.search(alone, F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("outlier", [False, True])
+def test_uneven_norms_lose_no_neighbours(spark, outlier):
+    """Log-normal lengths, and one vector ten times as long as the others."""
+    rng = np.random.default_rng(11)
+    data = rng.standard_normal((12_000, 16))
+    data /= np.sqrt((data**2).sum(1))[:, None]
+    data = (data * (1.0 if outlier else np.exp(0.5 * rng.standard_normal((12_000, 1))))).astype(np.float32)
+    if outlier:
+        data[7] *= 10
+    table = spark.createDataFrame(enumerate(data.tolist()), "vec_id long, embedding array<float>")
+    found = nearest.search(table, F.col("vec_id") % 60 == 0, k=20).collect()
+    asked = np.arange(0, 12_000, 60)
+    scores = data[asked].astype(np.float64) @ data.T.astype(np.float64)
+    scores[np.arange(len(asked)), asked] = -np.inf
+    near = dict(zip(asked.tolist(), np.argsort(-scores, axis=1, kind="stable")[:, :20].tolist()))
+    got = {q: set() for q in near}
+    for r in found:
+        got[r["query_id"]].add(r["vec_id"])
+    recall = np.mean([len(got[q].intersection(near[q])) / 20 for q in near])
+    print("recall", recall)
+    assert recall >= 0.9 and all(len(x) == 20 for x in got.values())
+
+
+def test_queries_that_meet_too_few_vectors_see_all(spark, monkeypatch):
+    """Tables of which no probe meets anything stand for an index that fails."""
+    lost = nearest.Tables(np.full((1, 2, 9), 1e6), np.zeros((1, 2)), 1e-3, 1, 10.0)
+    monkeypatch.setattr(nearest, "fit", lambda *args, **options: lost)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(8).round(2).tolist()) for i in range(1500)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = nearest.search(table, F.col("vec_id") % 300 == 0, k=5, small=0).collect()
+    as_float = [(i, np.array(v, np.float32).astype(np.float64).tolist()) for i, v in rows]
+    expected = {(q, rank, i) for q, rank, i, _ in plain_nearest(as_float, 5, step=300)}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found} == expected
+
+
+def test_probes_go_on_to_farther_cells():
+    cells = nearest.probe_cells(np.array([0.5, 0.2]), 40)
+    assert len({tuple(c) for c in cells.tolist()}) == 40 and np.abs(cells).max() >= 2
