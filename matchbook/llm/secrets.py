@@ -2,10 +2,11 @@
 
 Base kinds stand alone. A credential often comes in parts, though: an access
 identifier, a secret and an endpoint. Each part alone is weak (a random string, a
-host name). Parts are linked where their intervals, widened by ``reach``, meet
-within a scope (a paragraph: no blank line between); a weak secret is reported
-only if an identifier and an endpoint, or an identifier that is a base one, are
-near it, and the weak parts it is linked to are reported with it.
+host name). Parts are linked within a scope (a paragraph: no blank line between),
+however far apart; a weak secret is reported only if an identifier and an endpoint,
+or an identifier that is a base one, are in its scope, and the weak parts it is
+linked to are reported with it. A ``reach`` narrows that to parts whose intervals,
+widened by it, meet.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -32,11 +34,11 @@ ASSIGN_LEAST = 8
 # Weak parts: an identifier, a secret, an endpoint.
 WEAK = {
     "weak_id": re.compile(
-        r"""(?:client|account|user|access|key)_?-?id["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.-]{4,64})"""
+        r"""(?:client|account|user|access|key)_?-?id["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.-]{4,})"""
         r"""|\b((?:AROA|AIDA|ASIA)[A-Z0-9]{12,})""",
         re.IGNORECASE | re.ASCII,
     ),
-    "weak_secret": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,128}(?![A-Za-z0-9+/_=-])"),
+    "weak_secret": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}"),
     "weak_endpoint": re.compile(
         r"\b(?:https?|s3|postgres|postgresql|mysql|amqp|redis)://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*"
         r"|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|azure\.com|googleapis\.com)\b",
@@ -76,12 +78,13 @@ def _near(span: Span, others: list[Span], starts: list[int], longest: int, reach
     return [o for o in others[a:b] if o[2] >= start - reach]
 
 
-def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
+def linked_spans(text: str, base: list[Span], reach: int | None = 200) -> list[Span]:
     """Weak parts that complete a credential, sorted as spans are.
 
     A weak secret needs a near identifier (weak, or a base access key) and a near
-    endpoint, or a near base access key alone. Parts never reach over a blank line.
-    A weak part that a base span covers in part is no candidate.
+    endpoint, or a near base access key alone. Parts never reach over a blank line;
+    without a ``reach`` all parts up to the next one are near. A weak part that a base
+    span covers in part is no candidate, and a part is not near to what it holds itself.
     """
     ids = [("weak_id", *m.span()) for m in WEAK["weak_id"].finditer(text)]
     keys = [s for s in base if s[0] == "access"]
@@ -107,9 +110,14 @@ def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
         return bisect_right(borders, span[1])
 
     parts = {"id": ids, "key": keys, "end": ends}
+    order = ["weak_id", "weak_secret", "weak_endpoint"]
+    if reach is None:
+        found = _linked_in_scopes([s for s in secrets if free(s)], parts, scope)
+        found = {s for s in found if s[0] == "weak_secret" or free(s)}
+        return sorted(found, key=lambda s: (s[1], order.index(s[0]), s[2]))
     starts = {k: [s[1] for s in v] for k, v in parts.items()}
     wide = {k: max((s[2] - s[1] for s in v), default=0) for k, v in parts.items()}
-    found: set[Span] = set()
+    found = set()
     for secret in filter(free, secrets):
         near = {
             k: [
@@ -122,16 +130,43 @@ def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
         if near["key"] or near["id"] and near["end"]:
             found.add(secret)
             found.update(o for k in ("id", "end") for o in near[k] if free(o))
-    order = ["weak_id", "weak_secret", "weak_endpoint"]
     return sorted(found, key=lambda s: (s[1], order.index(s[0]), s[2]))
 
 
+def _linked_in_scopes(
+    secrets: list[Span], parts: dict[str, list[Span]], scope: Callable[[Span], int]
+) -> set[Span]:
+    """Secrets with their counterparts in the same scope, and those counterparts.
+
+    One sweep: parts of a kind are in order and apart, so at most one of them holds a secret.
+    """
+    present = {k: Counter(map(scope, spans)) for k, spans in parts.items()}
+    starts = {k: [s[1] for s in spans] for k, spans in parts.items()}
+    found: set[Span] = set()
+    linked: Counter = Counter()
+    inside: Counter = Counter()
+    for secret in secrets:
+        where, holders = scope(secret), {}
+        for k, spans in parts.items():
+            at = bisect_right(starts[k], secret[1]) - 1
+            if at >= 0 and spans[at][2] >= secret[2]:
+                holders[k] = spans[at]
+        near = {k: present[k][where] - (k in holders) for k in parts}
+        if near["key"] or near["id"] and near["end"]:
+            found.add(secret)
+            linked[where] += 1
+            inside.update(holders.values())
+    # A part that holds all linked secrets of its scope is the counterpart of none.
+    found.update(o for k in ("id", "end") for o in parts[k] if linked[scope(o)] > inside[o])
+    return found
+
+
 def _text(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
 def scan_secrets(
-    docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, reach: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base, spans, base_sha256`` of every row.
 
