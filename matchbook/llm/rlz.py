@@ -1,4 +1,8 @@
-"""Substring dedup by relative Lempel-Ziv parsing of documents against earlier ones.
+"""Substring dedup by hashes of windows that earlier documents have too.
+
+Takes the place of a relative Lempel-Ziv parse: nothing is factored by longest matches
+and extended at its borders. Words are compared by 64-bit hashes of blocks and windows;
+the windows found, joined up, are called factors here.
 
 The reference of a document are all documents with a smaller id. It is cut into
 blocks: stretches of words around anchors, where an anchor is a gram that is the
