@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.texts import Rolling, keyed_documents, map_rows, mix, same_document
@@ -198,30 +198,78 @@ def contaminated(
 ) -> DataFrame:
     """``doc_id, text_key, item_id, coverage, tiles``: pairs whose coverage reaches the threshold.
 
-    ``benchmark`` has ``item_id, text``; it is read in blocks of about
-    ``block_chars`` characters, so no task or driver holds more of it. Null and empty texts
-    match nothing, on either side. Rows that repeat an id and text, and items that
-    repeat another, each give their rows. Without documents or items there are none.
+    ``benchmark`` has ``item_id, text``; it is read in blocks of up to
+    ``block_chars`` characters, so no task or driver holds more of it, unless a single text
+    is longer. Null and empty texts match nothing, on either side. Rows that repeat an id and
+    text, and items that repeat another, each give their rows. Without documents or items
+    there are none.
     """
+    items = _items(benchmark)
+    found = _matches(docs, items, min_match, threshold, block_chars, id_col, text_col)
+    ids = items.select("item_key", "item_id")
+    return found.join(ids, "item_key").select("doc_id", "text_key", "item_id", "coverage", "tiles")
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(
+        F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_key"), "text"
+    ).filter("length(text) > 0")
+
+
+def _matches(
+    docs: DataFrame,
+    items: DataFrame,
+    min_match: int = 5,
+    threshold: float = 0.8,
+    block_chars: int = 32_000_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """As ``contaminated``, but equal texts of items are one, by its ``item_key``."""
     spark = docs.sparkSession
     keyed = keyed_documents(docs, id_col, text_col)
-    items = benchmark.select(
-        F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-total // block_chars))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    texts = items.select("item_key", "text").distinct()
     found = None
-    for b in range(n_blocks):
+    for block in _blocks(texts, block_chars):
         # A bounded block of the benchmark at a time, never all of it.
-        rows = [tuple(r) for r in items.filter(block == b).collect()]
+        rows = [tuple(r) for r in texts.filter(block).collect()]
         index = spark.sparkContext.broadcast(BenchmarkIndex(rows, min_match, threshold))
         part = map_rows(keyed, _search(index), _PAIRS)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-_PAIRS = "doc_id long, text_key long, item_id long, coverage double, tiles int"
+def _blocks(texts: DataFrame, block_chars: int) -> list[Column]:
+    """Conditions that part distinct texts into runs of up to ``block_chars`` characters.
+
+    Texts are dealt to slots by hash, finer until a slot of several texts is within the
+    bound; a running sum over the slots cuts them into blocks.
+    """
+    total = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    slots = max(1, -(-total // block_chars))
+    if slots == 1:
+        return [F.lit(True)]
+    while True:
+        slots *= 4
+        slot = F.pmod(F.col("item_key"), F.lit(slots))
+        # One row per slot; slots are few, as texts are short beside a block.
+        sums = texts.groupBy(slot.alias("slot")).agg(
+            F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")
+        )
+        found = sums.orderBy("slot").collect()
+        # Past that, only texts with equal hashes are left together.
+        if slots > 1 << 40 or all(r["n"] == 1 or r["chars"] <= block_chars for r in found):
+            break
+    out, first, held = [], found[0]["slot"], 0
+    for r in found:
+        if held and held + r["chars"] > block_chars:
+            out.append((slot >= first) & (slot < r["slot"]))
+            first, held = r["slot"], 0
+        held += r["chars"]
+    return [*out, slot >= first]
+
+
+_PAIRS = "doc_id long, text_key long, item_key long, coverage double, tiles int"
 
 
 def _search(shared):
@@ -240,7 +288,7 @@ def _search(shared):
             yield {
                 "doc_id": ids.take(take),
                 "text_key": keys.take(take),
-                "item_id": item_ids,
+                "item_key": item_ids,
                 "coverage": shares,
                 "tiles": tiles,
             }
@@ -251,7 +299,7 @@ def _search(shared):
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
     names = docs.columns
-    found = contaminated(docs, benchmark, **options).select("doc_id", "text_key").distinct()
+    found = _matches(docs, _items(benchmark), **options).select("doc_id", "text_key").distinct()
     own = docs.select(
         F.struct(*(docs[n] for n in names)).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),

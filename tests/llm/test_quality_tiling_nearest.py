@@ -251,3 +251,21 @@ def test_queries_that_meet_too_few_vectors_see_all(spark, monkeypatch):
 def test_probes_go_on_to_farther_cells():
     cells = nearest.probe_cells(np.array([0.5, 0.2]), 40)
     assert len({tuple(c) for c in cells.tolist()}) == 40 and np.abs(cells).max() >= 2
+
+
+def test_blocks_of_a_benchmark_of_repeats_are_bounded(spark, monkeypatch):
+    own = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)]
+    repeated = [(100 + i, " ".join(f"same{j}" for j in range(30))) for i in range(60)]
+    bench = spark.createDataFrame(own + repeated, "item_id long, text string")
+    docs = spark.createDataFrame([(1, repeated[0][1]), (2, own[3][1])], "doc_id long, text string")
+    sizes, make = [], tiling.BenchmarkIndex.__init__
+
+    def seen(self, rows, *args):
+        sizes.append(sum(len(text) for _, text in rows))
+        make(self, rows, *args)
+
+    monkeypatch.setattr(tiling.BenchmarkIndex, "__init__", seen)
+    found = tiling.contaminated(docs, bench, block_chars=1000).collect()
+    assert max(sizes) <= 1000 and len(sizes) > 1
+    expected = [(1, i) for i, _ in repeated] + [(2, 3)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == expected
