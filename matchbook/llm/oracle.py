@@ -8,6 +8,7 @@ def all_sql() -> dict[str, str]:
         "op2_suffix_dedup": REPEATED_BYTES,
         "op3_line_dedup": LINE_DEDUP,
         "op10_substring_dedup": EARLIER_WINDOWS,
+        "op11_phrases": COLLOCATIONS,
     }
 
 
@@ -93,3 +94,44 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
        sha256(coalesce(text, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (r)
 """
+
+#: Phrases of up to three words by counting all of them.
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\n\x0b\f\r]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2),
+                                        lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest([1, 2, 3]) AS k)
+), counts AS (
+  SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 10
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), longer AS (
+  SELECT lang, n AS f, unnest([p[1] || ' ' || p[2], p[2] || ' ' || p[3]]) AS phrase
+  FROM (SELECT lang, n, string_split(phrase, ' ') AS p FROM counts WHERE k = 3)
+), kept AS (
+  SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS p FROM counts c
+  WHERE k > 1 AND NOT EXISTS (
+    SELECT 1 FROM longer x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.f >= 50 * c.n)
+), cuts AS (
+  SELECT lang, phrase, a, place, array_to_string(p[1:place], ' ') AS b, array_to_string(p[place + 1:k], ' ') AS e
+  FROM (SELECT *, unnest(range(1, k)) AS place FROM kept)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, place, f.n AS l, g.n AS r,
+         CAST((1000000::HUGEINT * a * a) // (f.n::HUGEINT * g.n) AS BIGINT) AS score
+  FROM cuts JOIN counts f ON f.lang = cuts.lang AND f.phrase = b
+       JOIN counts g ON g.lang = cuts.lang AND g.phrase = e
+), weakest AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, place) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from matchbook.llm import (
+    alignment,
     bpe,
     lines,
     nearest,
     oracle,
+    phrases,
     quality,
     repeats,
     rlz,
@@ -21,10 +23,14 @@ from matchbook.llm import (
     simhash,
     tiling,
     token_files,
+    transducer,
 )
 
 #: Vocabulary of the queries that encode.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: The same vocabulary as ranks, and one of another kind.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -84,6 +90,20 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rlz.remove_spans(docs, rlz.factors(docs, window=50))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return phrases.collocations(docs, max_words=3, min_count=10, share=50, top=2000)
+
+
+def op12_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return transducer.round_trip(docs, RANKS, public_tokenizers.PATTERN)
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(_table(spark, folder, "documents"), VOCABULARY, PIECES).drop("groups")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -96,6 +116,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_decontamination": op9_decontamination,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_phrases": op11_phrases,
+        "op12_transducer": op12_transducer,
+        "op13_alignment": op13_alignment,
         "pipeline": corpus_pipeline.run,
     }
 
