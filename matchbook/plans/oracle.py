@@ -277,6 +277,85 @@ def _describe() -> str:
     return "\nunion all\n".join(rows)
 
 
+def _describe_rows(numbers: str, texts: str) -> str:
+    """Rows of a description of ``t``."""
+    rows = [
+        f" select '{c}' as column_name, cast(count({c}) as bigint) as n, "
+        f"{_r(f'avg({c})', 'mean', 4)}, {_r(f'stddev_samp({c})', 'stddev', 4)}, "
+        f"{_r(f'min({c})', 'min_number', 4)}, {_r(f'max({c})', 'max_number', 4)}, "
+        "cast(null as varchar) as min_text, cast(null as varchar) as max_text from t"
+        for c in numbers.split()
+    ] + [
+        f"select '{c}', cast(count({c}) as bigint), null, null, null, null, "
+        f"min({c}::varchar), max({c}::varchar) from t"
+        for c in texts.split()
+    ]
+    return "\nunion all\n".join(rows)
+
+
+_LISTING_COLUMNS = (
+    "id host_id neighbourhood_group neighbourhood room_type latitude longitude price "
+    "minimum_nights number_of_reviews reviews_per_month calculated_host_listings_count "
+    "availability_365"
+)
+_LISTING_TEXT = """
+select concat_ws('-', l_orderkey, l_partkey, l_linenumber) as id, l_suppkey::bigint as host_id,
+  l_linestatus as neighbourhood_group,
+  case p_brand when 'Brand#13' then null when 'Brand#14' then '' else p_brand end as neighbourhood,
+  case when p_type = 'PROMO' and l_linenumber = 7 then '' else p_type end as room_type,
+  nullif(p_size, 50)::integer as latitude, p_retailprice as longitude,
+  case l_quantity when 13 then '' when 17 then '1.2.3' when 19 then null
+    else '$' || floor(l_extendedprice / 100)::bigint end as price,
+  nullif(l_linenumber, 7)::integer as minimum_nights,
+  case when l_tax = 0 then null when l_tax = 0.08 then 'n/a'
+    else l_quantity::integer::varchar end as number_of_reviews,
+  case when l_tax <> 0 then l_tax end as reviews_per_month,
+  nullif(p_size % 10, 0)::integer as calculated_host_listings_count,
+  case when l_discount <> 0.1 then round(l_discount * 100)::integer end as availability_365
+from lineitem join part on p_partkey = l_partkey"""
+
+_MATCH_COLUMNS = (
+    "match_id tourn_id tourn_name tourn_place tourn_round tourn_round_order winner_id loser_id "
+    "winner_seed loser_seed match_score winner_sets loser_sets winner_games loser_games "
+    "winner_tiebreaks_won loser_tiebreaks_won tourn_currency tourn_value tourn_start_date "
+    "tourn_end_date"
+)
+
+
+def _types(columns: str) -> str:
+    """The narrowest type that reads every value of each column of ``t``."""
+    rows = []
+    for c in columns.split():
+        v = f"nullif(trim({c}::varchar), '')"
+        whole = f"regexp_full_match({v}, '[+-]?[0-9]+')"
+        number = f"regexp_full_match({v}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')"
+        given = f"filter (where {v} is not null)"
+        rows.append(
+            f" select '{c}' as column_name, cast(count({v}) as bigint) as n_values, "
+            f"cast(count(*) - count({v}) as bigint) as n_missing, case "
+            f"when bool_and(lower({v}) in ('true', 'false')) {given} then 'boolean' "
+            f"when bool_and({whole} and try_cast({v} as integer) is not null) {given} then 'int' "
+            f"when bool_and({whole} and try_cast({v} as bigint) is not null) {given} then 'bigint' "
+            f"when bool_and({number}) {given} then 'double' "
+            f"when bool_and(regexp_full_match({v}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') "
+            f"and try_cast({v} as date) is not null) {given} then 'date' "
+            "else 'string' end as data_type from t"
+        )
+    return "\nunion all\n".join(rows)
+
+
+def _labels() -> str:
+    """Labels of three columns of the raw listings by their frequency."""
+    rows = [
+        f" select '{c}' as column_name, label, n, "
+        "row_number() over (order by n desc, label) - 1 as label_index "
+        f"from (select {c}::varchar as label, cast(count(*) as bigint) as n from t "
+        f"where {c} is not null group by label)"
+        for c in ("host_id", "neighbourhood", "room_type")
+    ]
+    return f"with t as ({_LISTING_TEXT})" + "\nunion all\n".join(rows)
+
+
 def _census() -> str:
     missing = {
         "id": "false",
@@ -335,21 +414,17 @@ def all_sql() -> dict[str, str]:
     )
     important = _with(f"{_SEASON}, {_TITLES}", f"select * from edges where {important_names}")
     event = f"select * from edges where {_EVENT_FILTER}"
-    return {
-        # scans
-        "scan_table": "select * from customer",
-        "table_shape": "select cast(count(*) as bigint) as n_rows, 11 as n_columns from lineitem",
-        "player_dim": _with(
-            _PLAYERS,
-            """
+    players = _with(
+        _PLAYERS,
+        """
 select player_id, first_name, last_name, n_name as nationality, residence,
   n_name as birthplace, born as date_of_birth, nk + 1980 as turned_pro,
   cast(floor(abs(balance) / 100) as integer) as weight_kg, nk + 150 as height_cm,
   case when balance < 0 then 'Left-Handed' else 'Right-Handed' end as handedness,
   case when balance >= 0 then 'Two-Handed Backhand' end as backhand
 from players""",
-        ),
-        "match_fact": f"""
+    )
+    match_fact = f"""
 select {_LINE_KEY} as match_id, o_orderkey as tourn_id,
   substr(o_orderpriority, 3) || ' ' || strftime(o_orderdate, '%m-%d') as tourn_name,
   o_orderpriority as tourn_place,
@@ -370,10 +445,39 @@ select {_LINE_KEY} as match_id, o_orderkey as tourn_id,
   cast(l_quantity as integer) || '-' || l_linenumber as match_score,
   '$' as tourn_currency,
   '$' || cast(floor(o_totalprice) as bigint) as tourn_value
-from lineitem join orders on l_orderkey = o_orderkey""",
+from lineitem join orders on l_orderkey = o_orderkey"""
+    match_text = f"""
+select m.match_id, m.tourn_id, m.tourn_name, m.tourn_place, m.tourn_round, m.tourn_round_order,
+  m.source as winner_id, m.destination as loser_id, m.source_seed as winner_seed,
+  m.destination_seed as loser_seed, m.match_score, m.source_sets as winner_sets,
+  m.destination_sets as loser_sets, m.source_games as winner_games,
+  m.destination_games as loser_games, m.source_tiebreaks_won as winner_tiebreaks_won,
+  m.destination_tiebreaks_won as loser_tiebreaks_won, m.tourn_currency, m.tourn_value,
+  coalesce(strftime(m.tourn_start_date, '%Y.%m.%d'), 'TBD') as tourn_start_date,
+  strftime(m.tourn_end_date, '%Y.%m.%d') as tourn_end_date
+from ({match_fact}) m"""
+    return {
+        # scans
+        "scan_table": "select * from customer",
+        "table_shape": "select cast(count(*) as bigint) as n_rows, 11 as n_columns from lineitem",
+        "player_dim": players,
+        "match_fact": match_fact,
         "tournament_dim": _with(_TITLES, "select * from tournaments"),
         "preview": "select * from orders "
         "order by o_orderkey limit 5",
+        "preview_players": f"{players} order by player_id limit 5",
+        "preview_matches": f"{match_fact} order by match_id limit 5",
+        "describe_players": f"with t as ({players})"
+        + _describe_rows(
+            "turned_pro weight_kg height_cm",
+            "player_id first_name last_name nationality residence birthplace handedness backhand",
+        ),
+        "describe_matches": f"with t as ({match_fact})"
+        + _describe_rows(
+            "source_seed destination_seed", "tourn_place tourn_round source destination"
+        ),
+        "infer_listing_types": f"with t as ({_LISTING_TEXT})" + _types(_LISTING_COLUMNS),
+        "infer_match_types": f"with t as ({match_text})" + _types(_MATCH_COLUMNS),
         # expressions
         "project_rename": _with(
             _TOUR,
@@ -500,6 +604,12 @@ from e left join v a on a.id = src left join v b on b.id = dst where match_type
             """
 select src as id, name, cast(sum(points) as bigint) as points
 from e left join v on v.id = src group by src, name""",
+        ),
+        "points_ranking": _with(
+            _TOUR,
+            """
+select id, name, coalesce(p, 0) as points, row_number() over (order by points desc, id) as rank
+from v left join (select src, cast(sum(points) as bigint) as p from e group by src) on src = id""",
         ),
         "overall_winner": _with(
             _TOUR,
@@ -662,6 +772,7 @@ select id, neighbourhood, room_type, cast(ni as integer) as neighbourhood_index,
   cast(ri as integer) as room_type_index
 from indexed""",
         ),
+        "label_indexes": _labels(),
         "mean_impute": _with(_RAW_LISTINGS, f"select id, {_IMPUTED_ROUNDED} from listings"),
         "one_hot": _with(
             _INDEXED,

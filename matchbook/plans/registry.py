@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.functions import columns as fx
+from matchbook.operators import indexing, metrics, price_model, profile
 from matchbook.operators import listings as prep
-from matchbook.operators import metrics, price_model, profile
 from matchbook.operators.graph import endpoint_ids
 from matchbook.operators.pagerank import pagerank
+from matchbook.operators.ranking import rank_rows
 from matchbook.plans import season, tour, warehouse
+from matchbook.sources.inference import infer_types
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +27,11 @@ TITLE_YEAR = 1998
 
 SCORE_DIGITS = 6
 
+LABELLED = ("host_id", "neighbourhood", "room_type")
+
+# Columns of the matches that a description takes: text and numbers.
+DESCRIBED_MATCH = ("tourn_place", "tourn_round", "source", "destination", "source_seed", "destination_seed")
+
 
 def rounded(df: DataFrame, digits: int = SCORE_DIGITS) -> DataFrame:
     """Fractions rounded, so that the order of a sum does not show.
@@ -84,14 +91,15 @@ def _fit(stages, rows: DataFrame):
         return stages.fit(kept)
 
 
-def _indexed(spark: SparkSession, folder: str) -> DataFrame:
-    rows = warehouse.listings(spark, folder)
-    return _fit(price_model.string_indexer(), rows).transform(rows)
+def string_index(spark: SparkSession, folder: str) -> DataFrame:
+    rows = warehouse.listings(spark, folder).select("id", *price_model.CATEGORIES)
+    indexes = indexing.label_indexes(rows, price_model.CATEGORIES)
+    return indexing.with_indexes(rows, indexes, price_model.CATEGORIES)
 
 
-def string_index(spark: SparkSession, folder: str) -> DataFrame:
-    indexes = [F.col(f"{c}_index").cast("int").alias(f"{c}_index") for c in price_model.CATEGORIES]
-    return _indexed(spark, folder).select("id", *price_model.CATEGORIES, *indexes)
+def label_indexes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every label of the listings' text columns with its index."""
+    return indexing.label_indexes(warehouse.raw_listings(spark, folder), LABELLED)
 
 
 def mean_impute(spark: SparkSession, folder: str) -> DataFrame:
@@ -233,6 +241,23 @@ SCANS: Mapping[str, Query] = {
     ),
 }
 
+TYPED: Mapping[str, Query] = {
+    "infer_listing_types": _from(warehouse.raw_listings, infer_types),
+    "infer_match_types": _from(
+        warehouse.raw_matches,
+        lambda df: infer_types(df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])),
+    ),
+    "preview_players": _from(warehouse.players, lambda df: profile.preview(df, ["player_id"])),
+    "preview_matches": _from(warehouse.matches, lambda df: profile.preview(df, ["match_id"])),
+    "describe_players": _from(
+        warehouse.players,
+        lambda df: rounded(profile.describe(df.drop("date_of_birth")), 4),
+    ),
+    "describe_matches": _from(
+        warehouse.matches, lambda df: rounded(profile.describe(df.select(*DESCRIBED_MATCH)), 4)
+    ),
+}
+
 EXPRESSIONS: Mapping[str, Query] = {
     "project_rename": _from(
         warehouse.raw_matches,
@@ -332,6 +357,10 @@ TOUR: Mapping[str, Query] = {
     "stage_results": _from(warehouse.tour_graph, tour.stage_results),
     "total_points": _from(warehouse.tour_graph, tour.total_points),
     "overall_winner": _from(warehouse.tour_graph, tour.overall_winner),
+    "points_ranking": _from(
+        warehouse.tour_graph,
+        lambda g: rank_rows(tour.points_of_all(g), [F.desc("points"), F.asc("id")]),
+    ),
     "repeat_pairs": _from(warehouse.tour_graph, tour.repeat_pairs),
     "ever_won": _from(warehouse.tour_graph, tour.ever_won),
     "ever_lost": _from(warehouse.tour_graph, tour.ever_lost),
@@ -377,6 +406,7 @@ PRICES: Mapping[str, Query] = {
     "prepare_listings": _from(warehouse.listings, rounded),
     "hash_split": hash_split,
     "string_index": string_index,
+    "label_indexes": label_indexes,
     "mean_impute": mean_impute,
     "one_hot": one_hot,
     "assemble_features": assemble_features,
@@ -403,4 +433,4 @@ PRICES: Mapping[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
-    return {**SCANS, **EXPRESSIONS, **PROFILES, **GRAPHS, **TOUR, **SEASON, **PRICES}
+    return {**SCANS, **TYPED, **EXPRESSIONS, **PROFILES, **GRAPHS, **TOUR, **SEASON, **PRICES}

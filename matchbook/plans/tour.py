@@ -73,6 +73,12 @@ def total_points(graph: PropertyGraph) -> DataFrame:
     )
 
 
+def points_of_all(graph: PropertyGraph) -> DataFrame:
+    """``id, name, points`` of every player; one who never won has none."""
+    points = F.coalesce("points", F.lit(0).cast("long")).alias("points")
+    return graph.vertices.join(points_by_winner(graph), "id", "left").select("id", "name", points)
+
+
 def overall_winner(graph: PropertyGraph) -> DataFrame:
     best = points_by_winner(graph).orderBy(F.desc("points"), "id").limit(1)
     return _with_name_of_few(graph, best).select("id", "name", "points")
