@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.bpe import _byte_characters
-from matchbook.llm.texts import documents, map_rows
+from matchbook.llm.texts import documents, map_rows, uncollected
 from matchbook.runtime import cut
 
 #: A space of sentencepiece within its pieces; bytes that have no piece are ``<0xHH>``.
@@ -84,6 +84,13 @@ class Aligner:
         ]
         # Only with such a vocabulary may texts be parted at spaces.
         self._parted = not any(SPACE in piece.lstrip(SPACE) for piece in pieces)
+        self._a_sizes = np.zeros(max(self._a_bytes) + 1, np.int64)
+        for i, token in self._a_bytes.items():
+            self._a_sizes[i] = len(token)
+        self._b_sizes = np.array([len(token) for token in self._b_bytes])
+        # How an id is written, by what comes after it.
+        ids = range(max(len(self._a_sizes), self.n_b))
+        self._written = {end: np.array([f"{i}{end}" for i in ids], object) for end in (",", "|", ";", "")}
 
     def parts_of(self, text: str) -> list[str]:
         """The parts of a text, without the spaces between them."""
@@ -91,8 +98,92 @@ class Aligner:
             return []
         return _INNER_SPACE.split(text) if self._parted else [text]
 
-    def align(self, parts: list[str]) -> Iterator[Part | None]:
-        """Each part behind a space; None if the tokens of one side are not its bytes."""
+    def table(self, parts: list[str], together: int = 4096) -> _Table:
+        """Distinct parts, all at once where they may stand side by side in one text.
+
+        That takes parts that neither begin nor end with white space; the others are
+        aligned one by one, and so is a lot in which some part isn't given back.
+        """
+        n = len(parts)
+        out = _Table(*(np.zeros(n, np.int64) for _ in range(3)), np.ones(n, bool), np.zeros(n, np.int64), None, [""] * n)
+        lots: dict[int, list[int]] = {0: [], 1: [], 2: []}
+        for i, part in enumerate(parts):
+            plain = self._parted and part and not (part[0].isspace() or part[-1].isspace())
+            lots[2 if not plain else 0 if part.isascii() else 1].append(i)
+        codes: list[np.ndarray] = []
+        held = 0
+        for kind, places in lots.items():
+            for low in range(0, len(places), together):
+                lot = places[low : low + together]
+                found = self._in_one_text([parts[i] for i in lot], out, np.array(lot)) if kind < 2 else None
+                if found is None:
+                    found = self._one_by_one([parts[i] for i in lot], out, lot)
+                sizes = out.n_groups[lot]
+                out.begin[lot] = held + np.cumsum(sizes) - sizes
+                held += len(found)
+                codes.append(found)
+        return out._replace(codes=np.concatenate(codes) if codes else np.zeros(0, np.int64))
+
+    def _one_by_one(self, parts: list[str], out: _Table, places: list[int]) -> np.ndarray:
+        codes = []
+        for i, part in zip(places, self.align(parts)):
+            if part is None:
+                out.whole[i] = False
+                continue
+            out.n_a[i], out.n_b[i], out.n_groups[i] = part.n_a, part.n_b, len(part.groups)
+            out.shown[i] = ";".join(part.groups)
+            codes += [a * self.n_b + b for a, b in part.links]
+        return np.array(codes, np.int64)
+
+    def _in_one_text(self, parts: list[str], out: _Table, places: np.ndarray) -> np.ndarray | None:
+        text = " ".join(parts)
+        data = b" " + text.encode("utf-8")
+        a = self._a.encode(" " + text, add_special_tokens=False)
+        b = self._b.encode(text, return_type="proto")
+        a_ids, pieces = a.ids, [(piece.id, piece.end) for piece in b.pieces]
+        b_ids = [i for i, _ in pieces]
+        if b"".join(map(self._a_bytes.__getitem__, a_ids)) != data:
+            return None
+        if b"".join(map(self._b_bytes.__getitem__, b_ids)) != data:
+            return None
+        a_ids, b_ids = np.array(a_ids), np.array(b_ids)
+        if len(data) == len(text) + 1:
+            # A byte for each character: the spans are exact. B's leave out the added space.
+            a_ends = np.array([end for _, end in a.offsets])
+            b_ends = np.array([end for _, end in pieces]) + 1
+        else:
+            a_ends, b_ends = np.cumsum(self._a_sizes[a_ids]), np.cumsum(self._b_sizes[b_ids])
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        part_ends = np.cumsum([1 + len(part.encode("utf-8")) for part in parts])
+        of_cut = np.searchsorted(part_ends, cuts)
+        n = len(parts)
+        out.n_a[places] = np.bincount(np.searchsorted(part_ends, a_ends), minlength=n)
+        out.n_b[places] = np.bincount(np.searchsorted(part_ends, b_ends), minlength=n)
+        out.n_groups[places] = np.bincount(of_cut, minlength=n)
+        # Ids of a group: those of A up to a bar, then those of B.
+        a_at, b_at = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+        a_text, b_text = self._written[","][a_ids], self._written[","][b_ids]
+        a_text[a_at] = self._written["|"][a_ids[a_at]]
+        b_text[b_at] = self._written[";"][b_ids[b_at]]
+        last = np.flatnonzero(np.diff(of_cut, append=n))
+        b_text[b_at[last]] = self._written[""][b_ids[b_at[last]]]
+        group = np.concatenate((np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)))
+        order = np.argsort(group, kind="stable")
+        written = np.concatenate((a_text, b_text))[order].tolist()
+        ends = np.cumsum(out.n_a[places] + out.n_b[places]).tolist()
+        for i, low, high in zip(places.tolist(), [0, *ends], ends):
+            out.shown[i] = "".join(written[low:high])
+        return a_ids[a_at].astype(np.int64) * self.n_b + b_ids[b_at]
+
+    def align(self, parts: list[str], together: int = 1024) -> Iterator[Part | None]:
+        """Each part behind a space; None if the tokens of one side are not its bytes.
+
+        What the libraries return is large, so few parts go ``together``.
+        """
+        for low in range(0, len(parts), together):
+            yield from self._align(parts[low : low + together])
+
+    def _align(self, parts: list[str]) -> Iterator[Part | None]:
         coded_a = self._a.encode_batch([" " + part for part in parts], add_special_tokens=False)
         coded_b = self._b.encode(parts, return_type="proto", num_threads=1)
         for part, a, b in zip(parts, coded_a, coded_b):
@@ -113,6 +204,18 @@ class Aligner:
             yield _grouped(a_ids, a_ends, b_ids, b_ends)
 
 
+class _Table(NamedTuple):
+    """Numbers of distinct parts, by their place; the codes of a part's links lie at ``begin``."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    whole: np.ndarray
+    begin: np.ndarray
+    codes: np.ndarray
+    shown: list[str]
+
+
 def refined(tokens: list[bytes]) -> list[int]:
     """Byte offsets of the ends of tokens, from their bytes."""
     return np.cumsum([len(token) for token in tokens]).tolist()
@@ -155,36 +258,23 @@ def _align_texts(aligner: Aligner, texts: list[str]) -> _Aligned:
     parted = [aligner.parts_of(text) for text in texts]
     distinct = sorted(set().union(*parted))
     number = {part: i for i, part in enumerate(distinct)}
-    n_a, n_b, n_groups = (np.zeros(len(distinct), np.int64) for _ in range(3))
-    whole = np.ones(len(distinct), bool)
-    shown: list[str] = []
-    codes: list[int] = []
-    for i, part in enumerate(aligner.align(distinct)):
-        if part is None:
-            whole[i] = False
-            shown.append("")
-            continue
-        n_a[i], n_b[i], n_groups[i] = part.n_a, part.n_b, len(part.groups)
-        shown.append(";".join(part.groups))
-        codes += [a * aligner.n_b + b for a, b in part.links]
-    ends = np.cumsum(n_groups)
-    flat = np.array(codes, np.int64)
+    table = aligner.table(distinct)
     out = _Aligned([], [], [], [], [])
     for parts in parted:
         at = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
-        if not whole[at].all():
+        if not table.whole[at].all():
             at = at[:0]
-        out.n_a.append(int(n_a[at].sum()))
-        out.n_b.append(int(n_b[at].sum()))
-        sizes = n_groups[at]
+        out.n_a.append(int(table.n_a[at].sum()))
+        out.n_b.append(int(table.n_b[at].sum()))
+        sizes = table.n_groups[at]
         out.n_groups.append(int(sizes.sum()))
-        out.groups.append(";".join([shown[i] for i in at.tolist()]))
-        shift = np.repeat(ends[at] - np.cumsum(sizes), sizes)
-        out.pairs.append(flat[shift + np.arange(len(shift))])
+        out.groups.append(";".join([table.shown[i] for i in at.tolist()]))
+        shift = np.repeat(table.begin[at] - (np.cumsum(sizes) - sizes), sizes)
+        out.pairs.append(table.codes[shift + np.arange(len(shift))])
     return out
 
 
-def _in_groups(batches: Iterator[dict], chars: int = 1 << 22) -> Iterator[tuple[list, list[str]]]:
+def _in_groups(batches: Iterator[dict], chars: int = 1 << 23) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts, some millions of characters at a time."""
     for batch in batches:
         ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
@@ -209,7 +299,7 @@ def token_groups(
         for ids, texts in _in_groups(batches):
             yield {"doc_id": ids, "groups": _align_texts(aligner, texts).groups}
 
-    return map_rows(documents(docs, id_col, text_col), run, "doc_id long, groups string")
+    return map_rows(documents(docs, id_col, text_col), uncollected(run), "doc_id long, groups string")
 
 
 _PER_BLOCK = (
@@ -321,7 +411,7 @@ def _per_block(docs: DataFrame, path_a: str, path_b: str, block_chars: int) -> D
                 nth, chars = nth + 1, 0
         yield close()
 
-    return map_rows(docs, run, _PER_BLOCK)
+    return map_rows(docs, uncollected(run), _PER_BLOCK)
 
 
 class _Counts:

@@ -10,6 +10,7 @@ be null, and rows with the same id may hold different texts.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,6 +62,25 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def uncollected(fn: Callable[[Iterator[dict]], Iterator[dict]]) -> Callable:
+    """``fn`` while the collector of reference cycles rests.
+
+    For work that makes many small objects and no cycles: the collector would visit all
+    of them over and over and find nothing.
+    """
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        resting = not gc.isenabled()
+        gc.disable()
+        try:
+            yield from fn(batches)
+        finally:
+            if not resting:
+                gc.enable()
+
+    return run
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, (pa.Array, pa.ChunkedArray)):
         return values
