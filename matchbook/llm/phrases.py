@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.llm.texts import map_rows, mix
+from matchbook.llm.texts import map_rows, mix, uncollected
 from matchbook.operators.ranking import best_per_group
 from matchbook.runtime import cut, shuffle_width
 
@@ -183,7 +183,7 @@ def _word_counts(docs: DataFrame, block_chars: int, share: float) -> DataFrame:
                 pairs = [words[c >> 32] + b" " + words[c & 0xFFFFFFFF] for c in codes[often].tolist()]
                 yield _counted(lang, 2, pairs, n[often])
 
-    return map_rows(docs, run, "lang string, words int, phrase string, n long")
+    return map_rows(docs, uncollected(run), "lang string, words int, phrase string, n long")
 
 
 def _counted(lang: str, words: int, phrases: list[bytes], n: np.ndarray) -> dict:
@@ -233,7 +233,7 @@ def _routed(
                     rows["phrases"].append(pack(table.tobytes()))
                 yield rows
 
-    return map_rows(docs, run, "lang string, route long, vocabulary binary, phrases binary")
+    return map_rows(docs, uncollected(run), "lang string, route long, vocabulary binary, phrases binary")
 
 
 def _is_wide(found: _Words, lang: str, wide: set[tuple[str, str]], columns) -> np.ndarray:
@@ -352,7 +352,7 @@ def phrase_counts(
         if held is not None:
             yield from close()
 
-    found = map_rows(packed, run, "lang string, words int, phrase string, n long")
+    found = map_rows(packed, uncollected(run), "lang string, words int, phrase string, n long")
     longer = found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     return often.unionByName(longer.filter(F.col("n") >= min_count)), totals
 

@@ -30,7 +30,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from matchbook.llm.texts import Memo, documents, map_rows
+from matchbook.llm.texts import Memo, documents, map_rows, uncollected
 
 _ROOT = 0
 
@@ -406,7 +406,7 @@ def encode_documents(
             ids = list(encoder.all_ids(batch["text"].to_pylist()))
             yield {"doc_id": batch["doc_id"], "ids": ids}
 
-    return map_rows(documents(docs, id_col, text_col), run, "doc_id long, ids binary")
+    return map_rows(documents(docs, id_col, text_col), uncollected(run), "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -419,7 +419,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             texts = ["".join(decoder.text(decoder.portions(x))) for x in ids]
             yield {"doc_id": batch["doc_id"], "text": texts}
 
-    return map_rows(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
+    return map_rows(encoded.select("doc_id", "ids"), uncollected(run), "doc_id long, text string")
 
 
 def round_trip(
@@ -449,4 +449,4 @@ def round_trip(
             }
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_rows(documents(docs, id_col, text_col), run, schema)
+    return map_rows(documents(docs, id_col, text_col), uncollected(run), schema)
