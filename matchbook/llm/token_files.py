@@ -180,7 +180,7 @@ def write_tokens(
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         own = f"{root}/_part-{part:06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
-        chunks = library_chunks(path)
+        chunks = library_chunks(path, most=150_000)
         end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
         with fs.open_output_stream(own) as sink:
             writer = TokenWriter(sink, width, frame_ids)
