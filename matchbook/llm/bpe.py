@@ -156,14 +156,13 @@ class ByteBpe:
             self._split[i] = (vocab[left], vocab[right])
         self._words = ahocorasick.Automaton()
         ids = {raw[i]: i for i in self._split}
-        self._shorter: dict[int, int] = {}
         self._length = [len(x) for x in raw]
+        # A token and all tokens that it begins with, the longest first.
+        self._prefixes: dict[int, tuple[int, ...]] = {}
         for token, i in ids.items():
             self._words.add_word(token.decode("latin-1"), (len(token), i))
-            for cut in range(len(token) - 1, 0, -1):
-                if (shorter := ids.get(token[:cut])) is not None:
-                    self._shorter[i] = shorter
-                    break
+            heads = (token[:end] for end in range(len(token), 0, -1))
+            self._prefixes[i] = tuple(ids[head] for head in heads if head in ids)
         self._words.make_automaton()
         self._fits: Memo = Memo(lambda pair: self._compatible(*pair), 1_000_000)
         self.offsets = np.zeros(self.size + 1, np.int64)
@@ -172,54 +171,61 @@ class ByteBpe:
         names = sorted(map(re.escape, self.special), key=len, reverse=True)
         self._special_pattern = re.compile("|".join(names)) if names else None
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The parts of a token at its left (0) or right (1) end, each with what it is merged into."""
+        out = [(token, self.size)]
+        while (part := self._split[token][side]) != token:
+            out.append((part, token))
+            token = part
+        return out
+
     def _compatible(self, left: int, right: int) -> bool:
-        """Can the two stand side by side, or would a merge across their border come first?"""
-        split, merged, limit = self._split, self._merged, self.size
-        while True:
-            across = merged.get((left, right))
-            if across is not None and across < limit:
-                return False
-            if left > right:
-                limit, left = left, split[left][1]
-                if left == limit:
-                    limit, right = right + 1, split[right][0]
-                    if right + 1 == limit:
-                        return True
-            else:
-                limit, right = right + 1, split[right][0]
-                if right + 1 == limit:
-                    limit, left = left, split[left][1]
-                    if left == limit:
-                        return True
+        """Do the merges of both tokens' bytes leave just these two?
+
+        Merges come in the order of ids, so a part is there from its own id to that of the
+        part it goes into. They don't if two parts that meet at the border have a merge
+        that comes before both are gone. Of equal merges the left one comes first: it
+        takes the left part away from the border, but is too late for the right one.
+        """
+        facing = self._edge(right, 0)
+        for part, gone in self._edge(left, 1):
+            for other, other_gone in facing:
+                across = self._merged.get((part, other))
+                if across is not None and across < gone and across <= other_gone:
+                    return False
+        return True
 
     def merge(self, piece: str) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token.
+
+        A search in depth: at each place the tokens that begin there, the longest first. A
+        row of tokens that fit is the only one for the text it covers, so a place from
+        which no way led on is never tried again.
+        """
         data = piece.encode("utf-8").decode("latin-1")
         n = len(data)
         longest = [0] * n
         for end, (size, i) in self._words.iter(data):
             longest[end - size + 1] = i  # ends rise, so the longest comes last
-        length, shorter, fits = self._length, self._shorter, self._fits
-        alive = bytearray(b"\1") * (n + 1)
-        out: list[int] = []
-        at, token = 0, longest[0]
-        while True:
-            while True:
+        length, fits, prefixes = self._length, self._fits, self._prefixes
+        path: list[int] = []
+        choices = [iter(prefixes[longest[0]])]
+        dead: set[int] = set()
+        at = 0
+        while at < n:
+            for token in choices[-1]:
                 end = at + length[token]
-                if alive[end] and (not out or fits[out[-1], token]):
-                    out.append(token)
+                if end not in dead and (not path or fits[path[-1], token]):
+                    path.append(token)
                     at = end
-                    if at == n:
-                        return out
-                    token = longest[at]
-                    break
-                if token in shorter:
-                    token = shorter[token]
-                else:
-                    alive[at] = 0
-                    token = out.pop()
-                    at -= length[token]
+                    if at < n:
+                        choices.append(iter(prefixes[longest[at]]))
                     break
+            else:
+                dead.add(at)
+                choices.pop()
+                at -= length[path.pop()]
+        return path
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids; texts of special tokens give their ids."""

@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from tokenizers import Tokenizer
 
-from matchbook.llm.bpe import ByteBpe, Chunks, byte_bpe, decode_documents, encode_documents, round_trip
+from matchbook.llm.bpe import ByteBpe, Chunks, _byte_characters, byte_bpe, decode_documents, encode_documents, round_trip
 from matchbook.llm.queries import VOCABULARY
 from matchbook.llm.token_files import (
     TokenReader,
@@ -47,6 +47,26 @@ def test_backtracking_gives_the_merges(library):
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == reference(library, text), repr(text)
 
 
+def test_pairs_that_fit_are_those_the_merges_leave(library):
+    bpe, rng = ByteBpe(VOCABULARY), random.Random(6)
+    for trial in range(4000):
+        # Half of the pairs stand side by side in a word that was cut elsewhere.
+        left, right = rng.randrange(50_256), rng.randrange(50_256)
+        if trial % 2:
+            ids = library.encode("".join(rng.choice("aaeinrst") for _ in range(12))).ids
+            left, right = ids[0], ids[-1]
+        both = bpe.blob[bpe.offsets[left] : bpe.offsets[left + 1]].tobytes().decode("latin-1")
+        both += bpe.blob[bpe.offsets[right] : bpe.offsets[right + 1]].tobytes().decode("latin-1")
+        parts = [i for c in both for i in [library.token_to_id(_byte_characters()[ord(c)])]]
+        while True:
+            ranked = [(m, i) for i in range(len(parts) - 1) if (m := bpe._merged.get((parts[i], parts[i + 1])))]
+            if not ranked:
+                break
+            merged, at = min(ranked)
+            parts[at : at + 2] = [merged]
+        assert bpe._compatible(left, right) == (parts == [left, right])
+
+
 @pytest.mark.parametrize("most", [300_000, 20])
 def test_pieces_encode_as_the_whole(library, most):
     bpe = byte_bpe(VOCABULARY)
