@@ -11,6 +11,7 @@ times the odds that its path has over the mean.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,20 +37,41 @@ class Model:
     intercepts: tuple[float, float]
 
 
-def _word(word: str) -> tuple[str, str]:
-    """The letters and digits of a word in lower case, and its shape.
+#: Longer words are judged by their parts.
+_LONG = 32
+_RUN = re.compile(r"[^\W_]+")
 
-    The shape has a letter for a run of capitals (A), other letters (a) or digits
-    (0) and any other character, one of a run, up to four runs.
-    """
+
+def _kinds(word: str) -> str:
+    """A letter for a run of capitals (A), other letters (a) or digits (0), any other character once a run."""
     shape: list[str] = []
-    for c in word[:64]:
+    for c in word:
         kind = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
         if not shape or shape[-1] != kind:
             shape.append(kind)
-            if len(shape) == 4:
-                break
-    return "".join(filter(str.isalnum, word[:64])).lower(), "".join(shape)
+    return "".join(shape)
+
+
+def _word(word: str) -> tuple[str, str]:
+    """The letters and digits of a word in lower case, and its shape: four runs, and + for more."""
+    shape = _kinds(word)
+    return "".join(filter(str.isalnum, word)).lower(), shape if len(shape) < 5 else shape[:4] + "+"
+
+
+def _long_word(word: str) -> tuple[set[str], set[str]]:
+    """All parts of a long word and all shapes of four neighbouring runs.
+
+    A part is a run of letters and digits in lower case; of a run that is long itself,
+    as in scripts without spaces, every three neighbouring characters.
+    """
+    parts: set[str] = set()
+    for run in map(str.lower, _RUN.findall(word)):
+        if len(run) <= _LONG:
+            parts.add("w " + run)
+        else:
+            parts.update("g " + run[i : i + 3] for i in range(len(run) - 2))
+    shape = _kinds(word)
+    return parts, {shape[i : i + 4] for i in range(max(1, len(shape) - 3))}
 
 
 def word_memo() -> Memo:
@@ -57,7 +79,10 @@ def word_memo() -> Memo:
 
 
 def features(text: str, memo: Memo) -> list[str]:
-    """Distinct words, shapes by the share of words that have them, and how words repeat."""
+    """Distinct words, shapes by the share of words that have them, and how words repeat.
+
+    Every character counts: words of more than 32 characters give all their parts.
+    """
     words = text.split()
     if not words:
         return ["empty"]
@@ -65,6 +90,11 @@ def features(text: str, memo: Memo) -> list[str]:
     shapes: Counter = Counter()
     out = set()
     for word, n in counts.items():
+        if len(word) > _LONG:
+            parts, inner = _long_word(word)
+            out |= parts
+            out.update("l " + shape for shape in inner)
+            continue
         core, shape = memo[word]
         if core:
             out.add("w " + core)

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -80,6 +81,23 @@ def test_run_is_all_stages(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(tuple, stages[5].collect()))
 
 
+@pytest.mark.parametrize("rows", ["hard", "nothing"])
+def test_stages_on_hard_and_empty_tables(spark, request, tmp_path, rows):
+    docs = request.getfixturevalue(rows)
+    if rows == "hard":
+        columns = {"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}
+        docs = docs.withColumns(columns)
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SMALL).write.parquet(f"{tmp_path}/{k}")
+        docs, before = spark.read.parquet(f"{tmp_path}/{k}"), docs
+        assert k == 4 or docs.columns == columns
+    found = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"]) for r in docs.collect())
+    library = Tokenizer.from_file(VOCABULARY)
+    assert found == sorted((d is not None, d or 0, len(library.encode(t).ids)) for d, t in pairs(before))
+    assert bool(found) == (rows == "hard")
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_queries_match_their_sql(spark, name):
     with duckdb.connect() as database:

@@ -136,6 +136,90 @@ def test_sparse_sites_are_drawn_to_the_mean(spark):
     assert shifts["big", "p"] < 0
 
 
+def plain_features(text):
+    """The features of a text, one word and one character after the other."""
+    words = text.split()
+    if not words:
+        return {"empty"}
+
+    def runs_of(word):
+        kinds = [("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c for c in word]
+        return "".join(k for i, k in enumerate(kinds) if i == 0 or kinds[i - 1] != k)
+
+    out, shapes = set(), []
+    for word in words:
+        shape = runs_of(word)
+        if len(word) <= 32:
+            core = "".join(c for c in word if c.isalnum()).lower()
+            out |= {"w " + core} if core else set()
+            shapes.append(shape if len(shape) <= 4 else shape[:4] + "+")
+            continue
+        out |= {"l " + shape[i : i + 4] for i in range(len(shape)) if i == 0 or i + 4 <= len(shape)}
+        for run in "".join(c if c.isalnum() else " " for c in word).split():
+            low = run.lower()
+            out |= {"w " + low} if len(low) <= 32 else {"g " + low[i : i + 3] for i in range(len(low) - 2)}
+    for shape in set(shapes):
+        out.add(f"s {shape} {min(4, int(np.log2(len(words) / shapes.count(shape))))}")
+    out.add(f"repeats {int(4 * len(set(words)) / len(words))}")
+    return out | {f"words {min(12, int(np.log2(len(words))))}"}
+
+
+def test_features_see_whole_texts(hard):
+    for _, text in pairs(hard):
+        assert set(quality.features(text, quality.word_memo())) == plain_features(text)
+    for text in ("A-b_C.d,1;e", "x" * 33, "你好世界" * 40 + "坏东西", "one.two" * 30 + " three", "_" * 50, "İ" * 40):
+        assert set(quality.features(text, quality.word_memo())) == plain_features(text)
+
+
+@pytest.mark.parametrize("mark", ["坏东西", "-awful-"])
+def test_bad_content_late_in_an_unspaced_text_is_seen(spark, mark):
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(60)]
+    rows, labels = [], []
+    for i in range(400):
+        text = "".join(rng.choice(letters) for _ in range(500))
+        rows.append((i, text + mark + text[:20] if i % 4 == 0 else text, "s", "zh"))
+        labels.append((i, int(i % 4 != 0), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    judged = quality.classify(docs, spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int"))
+    assert {r["doc_id"] for r in judged.filter("not keep").collect()} == set(range(0, 400, 4))
+
+
+def test_posteriors_are_those_of_the_definition(spark):
+    rng = random.Random(4)
+    rows = [
+        (i, i, h := f"h{min(9, int(rng.expovariate(0.4)))}", f"{h}{rng.randint(0, 3)}", rng.gauss(ord(h[1]) / 9 - 6, 1), -3.0)
+        for i in range(700)
+    ]
+    scores = spark.createDataFrame(
+        rows, "doc_id long, text_key long, host string, path string, low double, toxic double"
+    )
+    found = {(r["host"], r["path"]): (r["shift_low"], r["shift_toxic"]) for r in quality.posteriors(scores).collect()}
+    for i, column in enumerate((4, 5)):
+        p = [1 / (1 + np.exp(-r[column])) for r in rows]
+        mean = sum(p) / len(p)
+
+        def strength(groups):
+            """``(n, sum of p, prior)`` of each group."""
+            n = sum(g[0] for g in groups)
+            spread = sum(g[0] * (g[1] / g[0] - g[2]) ** 2 - g[2] * (1 - g[2]) for g in groups) / n
+            whole = sum(g[0] * g[2] * (1 - g[2]) for g in groups) / n
+            return min(1e6, max(1.0, whole / spread - 1)) if spread > 0 else 1e6
+
+        def members(name, place):
+            return [x for x, r in zip(p, rows) if r[place] == name]
+
+        hosts = {h: members(h, 2) for h in {r[2] for r in rows}}
+        k = strength([(len(x), sum(x), mean) for x in hosts.values()])
+        drawn = {h: (sum(x) + k * mean) / (len(x) + k) for h, x in hosts.items()}
+        paths = {(r[2], r[3]): members(r[3], 3) for r in rows}
+        k = strength([(len(x), sum(x), drawn[h]) for (h, _), x in paths.items()])
+        for (h, path), x in paths.items():
+            q = (sum(x) + k * drawn[h]) / (len(x) + k)
+            assert found[h, path][i] == pytest.approx(np.log(q / (1 - q)) - np.log(mean / (1 - mean)), abs=1e-9)
+    assert len(found) == len({r[3] for r in rows})
+
+
 def test_classifier_on_odd_tables(spark, hard, nothing):
     docs = hard.withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.lit("en"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
