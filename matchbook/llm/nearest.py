@@ -9,9 +9,14 @@ that lie between. All candidates of a bucket are ranked by the exact measure.
 
 A short vector is made longer mostly by the added component, which moves it away from
 all queries. So vectors are split into ranges of norms, at most two to one, each with
-an index of its own. Cell width, number of projections and number of probes are
-fitted on a bounded sample of each range; all vectors are indexed. Buckets are read
-as blocks of bounded size, so a bucket with a third of all vectors is many tasks' work.
+an index of its own. Cell width and number of projections are fitted on a bounded sample
+of each range, the number of probes on the true neighbours of a bounded sample of queries,
+which one pass over all vectors finds; all vectors are indexed. Buckets are read as blocks
+of bounded size, so a bucket with a third of all vectors is many tasks' work. Blocks
+are dealt to shards, and a query goes once to each shard that holds blocks it looks into.
+
+The ``k`` nearest of a sample that every task has are a query's first candidates. Nothing
+below the last of them can be in the answer, so a task hands on few of the vectors it meets.
 
 Three things are looked through in full, block by block: ranges of few vectors, ranges
 where a bounded number of probes misses the recall asked for, and everything for
@@ -27,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.llm.texts import map_rows
@@ -127,68 +132,118 @@ def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)
 
 
+def _slack(queries: np.ndarray, longest: float) -> np.ndarray:
+    """How far a product of matrices may be from the exact measure."""
+    return 1e-15 * queries.shape[1] * np.sqrt((queries**2).sum(1)) * longest
+
+
 def fit(
-    ids: np.ndarray,
     data: np.ndarray,
-    asked_ids: np.ndarray,
     asked: np.ndarray,
-    k: int,
+    whose: np.ndarray,
+    near: np.ndarray,
     n_rows: int,
     longest: float,
     tables: int = 4,
     bucket_rows: int = 256,
-    recall: float = 0.97,
+    recall: float = 0.94,
+    spread: float = 3.0,
     most_probes: int = 4096,
     seed: int = 7,
 ) -> Tables | None:
-    """Projections, and as many probes as reach ``recall`` for the queries on a sample of one range.
+    """Projections of one range, and as many probes as reach ``recall`` for the ``asked`` queries.
 
-    The more rows, the more projections: about ``bucket_rows`` in a bucket. Neighbours in
-    a sample are farther off than among all vectors, so its recall is a low estimate.
-    None if the recall takes more than ``most_probes``.
+    ``data`` is a sample of the range; ``near`` are all true neighbours in it, row by row
+    of the query ``whose`` they are. Cells are ``spread`` standard deviations wide, which
+    parts the data in about two; the more rows, the more projections: about
+    ``bucket_rows`` in a bucket. None if the recall takes more than ``most_probes``.
     """
     rng = np.random.default_rng(seed)
     dimension = data.shape[1] + 1
-    # A projection whose cells are as wide as the spread parts the data in about three.
-    size = max(2, min(24, round(np.log(max(1.0, n_rows / bucket_rows)) / np.log(3.0)) + 1))
+    size = max(2, min(24, round(np.log2(max(1.0, n_rows / bucket_rows)))))
     directions = rng.standard_normal((tables, size, dimension))
     points = _extended(data, longest)
-    width = float(np.einsum("tkd,nd->tnk", directions, points).std(1).mean() * 2) or 1.0
+    width = float(np.einsum("tkd,nd->tnk", directions, points).std(1).mean() * spread) or 1.0
     made = Tables(directions, rng.random((tables, size)), width, 1, longest)
-    scores = asked @ data.T
-    scores[asked_ids[:, None] == ids[None, :]] = -np.inf
-    near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    real = np.isfinite(np.take_along_axis(scores, near, 1))
-    if not real.any():
-        return None
-    buckets = bucket_hash(np.floor(made.cells(points)))
+    probes = 16
+    if not len(near):
+        return Tables(directions, made.offsets, width, probes, longest)
+    buckets = bucket_hash(np.floor(made.cells(_extended(near, longest))))
     places = made.cells(_query_side(asked, longest))
-    probes = 8
     while probes <= most_probes:
-        hits = np.zeros(near.shape, bool)
-        for t in range(tables):
-            for q in range(len(asked)):
+        # The probe that first meets each neighbour in any table.
+        first = np.full(len(near), probes)
+        for q in np.unique(whose).tolist():
+            own = np.flatnonzero(whose == q)
+            for t in range(tables):
                 looked = bucket_hash(probe_cells(places[t, q], probes))
-                hits[q] |= np.isin(buckets[t][near[q]], looked)
-        if hits[real].mean() >= recall:
-            return Tables(directions, made.offsets, width, probes, longest)
+                met = buckets[t][own][:, None] == looked[None, :]
+                first[own] = np.minimum(first[own], np.where(met.any(1), met.argmax(1), probes))
+        if (first < probes).mean() >= recall:
+            needed = int(np.sort(first)[int(np.ceil(recall * len(near))) - 1]) + 1
+            return Tables(directions, made.offsets, width, needed, longest)
         probes *= 2
     return None
 
 
+@dataclass(frozen=True)
+class Sample:
+    """Vectors that every task has: a bounded number by a hash of their id."""
+
+    ids: np.ndarray
+    data: np.ndarray
+
+    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list, list, np.ndarray]:
+        """Of each query its ``k`` nearest here, their scores, and what its ``k`` nearest of all reach."""
+        found, scores = [], []
+        least = np.full(len(queries), -np.inf)
+        for i, (own, query) in enumerate(zip(ids, queries)):
+            rough = self.data @ query
+            rough[self.ids == own] = -np.inf
+            n = min(k, int((rough > -np.inf).sum()))
+            at = np.argpartition(-rough, n - 1)[:n] if n else np.zeros(0, np.int64)
+            found.append(self.ids[at])
+            scores.append(exact(query[None, :], self.data[at]))
+            if n == k:
+                least[i] = scores[-1].min()
+        return found, scores, least
+
+
+def _true_neighbours(own: DataFrame, sample: Sample, ids: np.ndarray, asked: np.ndarray, k: int, dimension: int) -> list:
+    """``query_id, range, v`` of the ``k`` nearest of all vectors to each of a bounded number of queries."""
+    _, _, least = sample.nearest(ids, asked, k)
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            data, vec_ids = _matrix(batch["v"], dimension), batch["vec_id"].to_numpy()
+            if not len(data):
+                continue
+            rough = asked @ data.T
+            longest = float(np.sqrt((data**2).sum(1)).max())
+            q, at = np.nonzero((rough >= (least - _slack(asked, longest))[:, None]) & (ids[:, None] != vec_ids[None, :]))
+            yield {"query_id": ids[q], "vec_id": vec_ids[at], "far": -rough[q, at]}
+
+    met = map_rows(own, run, "query_id long, vec_id long, far double")
+    # The limit by rank cuts each task's rows to k of a query before they are shuffled.
+    nearest_first = Window.partitionBy("query_id").orderBy("far", "vec_id")
+    near = met.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
+    near = near.select("query_id", "vec_id")
+    return own.select("vec_id", "range", "v").join(near, "vec_id").collect()
+
+
 def _ranges(
-    own: DataFrame, is_query: Column, k: int, sample: int = 4096, small: int = 1024, **options
+    own: DataFrame, is_query: Column, sample: Sample, k: int, small: int = 1024, **options
 ) -> tuple[DataFrame, dict[int, Tables], dict[int, int], int]:
     """``own`` with its ``range``, the tables by range, rows by range, and the number of queries.
 
     Ranges of up to ``small`` rows, and those no tables fit, have none.
     """
     by_hash = [F.xxhash64("vec_id"), "vec_id"]
-    # At most ``sample`` norms, and 200 queries.
-    norms = [r["norm"] for r in own.orderBy(*by_hash).select("norm").limit(sample).collect()]
+    dimension = sample.data.shape[1]
     # Borders lie halfway, so that vectors of one length are in one range.
-    place = F.log2(F.col("norm") / float(np.median(norms))) + 0.5
-    own = own.withColumn("range", F.floor(place).cast("int"))
+    middle = float(np.median(np.sqrt((sample.data**2).sum(1))))
+    own = own.withColumn("range", F.floor(F.log2(F.col("norm") / middle) + 0.5).cast("int"))
+    # At most 200 queries.
     asked_ids, asked = _arrays(own.filter(is_query).orderBy(*by_hash).limit(200).collect())
     # Numbers of single precision have fewer than 300 powers of two.
     found = own.groupBy("range").agg(
@@ -200,7 +255,8 @@ def _ranges(
     large = [r for r in found if r["n"] > small]
     tables: dict[int, Tables] = {}
     if large and len(asked):
-        each = max(256, min(sample, 2 * sample // len(large)))
+        most = len(sample.ids)
+        each = max(256, min(most, 2 * most // len(large)))
         steps = 1 << 30
         least = F.create_map(
             *(F.lit(x) for r in large for x in (r["range"], min(steps, int(1.1 * steps * each / r["n"]))))
@@ -210,10 +266,17 @@ def _ranges(
         rows: dict[int, list] = {}
         for r in drawn.orderBy(*by_hash).collect():
             rows.setdefault(r["range"], []).append(r)
+        near: dict[int, list] = {}
+        for r in _true_neighbours(own, sample, asked_ids, asked, k, dimension):
+            near.setdefault(r["range"], []).append(r)
+        number = {int(i): n for n, i in enumerate(asked_ids)}
         for r in large:
-            ids, data = _arrays(rows.get(r["range"], [])[:each])
+            _, data = _arrays(rows.get(r["range"], [])[:each])
+            here = near.get(r["range"], [])
+            whose = np.array([number[x["query_id"]] for x in here], np.int64)
+            vectors = np.array([x["v"] for x in here], np.float64).reshape(-1, dimension)
             longest = r["longest"] * (1 + 1e-9)
-            if len(ids) and (t := fit(ids, data, asked_ids, asked, k, r["n"], longest, **options)):
+            if len(data) and (t := fit(data, asked, whose, vectors, r["n"], longest, **options)):
                 tables[r["range"]] = t
     return own, tables, counts, sum(r["queries"] for r in found)
 
@@ -245,50 +308,86 @@ def index_rows(vectors: DataFrame, tables: dict[int, Tables], dimension: int) ->
 
 
 def probe_rows(queries: DataFrame, tables: dict[int, Tables], dimension: int) -> DataFrame:
-    """``range, table, bucket, vec_id, v``: every query in each bucket that it looks into."""
+    """``range, table, bucket, query_id``: every bucket that a query looks into."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            data = _matrix(batch["v"], dimension)
+            data, ids = _matrix(batch["v"], dimension), batch["query_id"].to_numpy()
             if not len(data):
                 continue
             for r, fitted in tables.items():
                 places = fitted.cells(_query_side(data, fitted.longest))
                 for t in range(len(places)):
                     looked = [bucket_hash(probe_cells(p, fitted.probes)) for p in places[t]]
-                    take = pa.array(np.repeat(np.arange(len(data)), [len(x) for x in looked]))
+                    sizes = [len(x) for x in looked]
                     yield {
-                        "range": np.full(len(take), r),
-                        "table": np.full(len(take), t),
+                        "range": np.full(sum(sizes), r),
+                        "table": np.full(sum(sizes), t),
                         "bucket": np.concatenate(looked),
-                        "vec_id": batch["vec_id"].take(take),
-                        "v": batch["v"].take(take),
+                        "query_id": np.repeat(ids, sizes),
                     }
 
-    return map_rows(queries, run, "range int, table int, bucket long, vec_id long, v array<float>")
+    return map_rows(queries, run, "range int, table int, bucket long, query_id long")
+
+
+def first_candidates(queries: DataFrame, sample: Sample, k: int, dimension: int) -> DataFrame:
+    """``query_id, v, least`` and, as lists, ``vec_ids, far``: the ``k`` nearest of the sample."""
+    # Bounded by the size of the sample.
+    shared = queries.sparkSession.sparkContext.broadcast(sample)
 
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            ids = batch["vec_id"].to_numpy()
+            found, scores, least = shared.value.nearest(ids, _matrix(batch["v"], dimension), k)
+            far = [(-x).tolist() for x in scores]
+            yield {
+                "query_id": ids, "v": batch["v"], "least": least,
+                "vec_ids": [x.tolist() for x in found], "far": far,
+            }
+
+    schema = "query_id long, v array<float>, least double, vec_ids array<long>, far array<double>"
+    return map_rows(queries.select("vec_id", "v"), run, schema)
 
-_KEY = ["range", "table", "bucket", "block"]
 
+_SHARD = ["range", "table", "shard"]
 
-def _in_buckets(data: DataFrame, asked: DataFrame, block_rows: int) -> DataFrame:
-    """Vectors and the queries that look into their bucket, side by side.
 
-    Buckets come as blocks of bounded size: vectors go to one block, queries to all of the bucket.
+def _in_buckets(
+    data: DataFrame, probes: DataFrame, asked: DataFrame, counts: dict[int, int], block_rows: int
+) -> DataFrame:
+    """Vectors, and the queries that look into their buckets, by shard.
+
+    Buckets come as blocks of bounded size, a few thousand rows of them to a shard. A vector
+    goes to one shard, a query to those with blocks it wants, with the list of them.
     """
-    bucket = _KEY[:3]
+    bucket = ["range", "table", "bucket"]
     sizes = data.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
     blocks = sizes.select(*bucket, F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    shards = F.create_map(*(F.lit(x) for r, n in counts.items() for x in (r, max(1, n // (2 * block_rows)))))
+    cell = F.xxhash64("bucket", "block")
+    shard = F.pmod(F.col("cell"), shards[F.col("range")]).cast("int")
     held = data.join(blocks, bucket).withColumn(
         "block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     )
-    wanted = asked.join(blocks, bucket).withColumn(
+    held = held.withColumn("cell", cell).withColumn("shard", shard)
+    wanted = probes.join(blocks, bucket).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
-    names = [*_KEY, "vec_id", "v"]
-    return held.select(*names, F.lit(0).alias("role")).unionByName(
-        wanted.select(*names, F.lit(1).alias("role"))
+    wanted = wanted.withColumn("cell", cell).withColumn("shard", shard)
+    wanted = wanted.groupBy(*_SHARD, "query_id").agg(F.collect_list("cell").alias("cells"))
+    return _side_by_side(held, wanted.join(asked.select("query_id", "v", "least"), "query_id"))
+
+
+def _side_by_side(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    vectors = held.select(
+        *_SHARD, F.lit(0).alias("role"), "vec_id", "v", "cell",
+        F.lit(0.0).alias("least"), F.array().cast("array<long>").alias("cells"),
+    )
+    queries = wanted.select(
+        *_SHARD, F.lit(1).alias("role"), F.col("query_id").alias("vec_id"), "v",
+        F.lit(0).cast("long").alias("cell"), "least", "cells",
     )
+    return vectors.unionByName(queries)
 
 
 def _in_full(data: DataFrame, asked: DataFrame, n_rows: int, n_asked: int, block_rows: int) -> DataFrame:
@@ -298,123 +397,157 @@ def _in_full(data: DataFrame, asked: DataFrame, n_rows: int, n_asked: int, block
     blocks = max(1, -(-n_rows // (32 * block_rows)), min(width, -(-n_rows // block_rows)))
     parts = max(1, -(-n_asked // (16 * block_rows)))
 
-    def rows(df: DataFrame, own: str, n_own: int, other: str, n_other: int, role: int) -> DataFrame:
-        spread = df.select(
-            "vec_id",
-            "v",
-            F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
-        )
-        # No range has this table.
+    def rows(df: DataFrame, name: str, n_own: int, stride: int, n_other: int, other_stride: int) -> DataFrame:
+        own = F.pmod(F.xxhash64(name), F.lit(n_own)).cast("int") * stride
+        others = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
+        spread = df.select("*", others.alias("other"), own.alias("own"))
+        # No index has this table.
         return spread.select(
             F.lit(0).alias("range"),
             F.lit(-1).alias("table"),
-            F.col("part").cast("long").alias("bucket"),
-            "block",
-            "vec_id",
-            "v",
-            F.lit(role).alias("role"),
+            (F.col("own") + F.col("other") * other_stride).alias("shard"),
+            F.lit(0).cast("long").alias("cell"),
+            *df.columns,
         )
 
-    return rows(data, "block", blocks, "part", parts, 0).unionByName(
-        rows(asked, "part", parts, "block", blocks, 1)
-    )
-
-
-class _Best:
-    """The ``k`` nearest of each query that a task has met; handed on when there are many."""
-
-    def __init__(self, k: int, most: int = 50_000):
-        self._k, self._most, self._held = k, most, {}
+    held = rows(data.select("vec_id", "v"), "vec_id", blocks, parts, parts, 1)
+    wanted = rows(asked.select("query_id", "v", "least"), "query_id", parts, 1, blocks, parts)
+    return _side_by_side(held, wanted.withColumn("cells", F.array("cell")))
 
-    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        if (old := self._held.get(query)) is not None:
-            ids, scores = np.concatenate([old[0], ids]), np.concatenate([old[1], scores])
-            ids, first = np.unique(ids, return_index=True)
-            scores = scores[first]
-        order = np.lexsort((ids, -scores))[: self._k]
-        self._held[query] = ids[order], scores[order]
 
-    def full(self) -> bool:
-        return len(self._held) >= self._most
+class _Shard:
+    """Vectors of one shard by cell, and the search in them."""
 
-    def rows(self) -> dict:
-        held, self._held = self._held, {}
+    def __init__(self, cells: list, ids: list, parts: list):
+        self._ids, self._data = np.concatenate(ids), np.concatenate(parts)
+        self._cells, self._starts, self._sizes = np.unique(
+            np.concatenate(cells), return_index=True, return_counts=True
+        )
+        self._longest = float(np.sqrt((self._data**2).sum(1)).max())
+
+    def answer(
+        self, asked_ids: np.ndarray, asked: np.ndarray, least: np.ndarray, cells: pa.Array, k: int,
+        rows: int = 2048, most: int = 500_000,
+    ) -> dict:
+        """The ``k`` nearest of each query in the cells it wants, nearest first, and how many it met.
+
+        Products of blocks of queries and vectors find what reaches ``least``; that is
+        measured exactly, and raises ``least`` when there is much of it.
+        """
+        n = len(asked)
+        flat = cells.flatten().to_numpy(zero_copy_only=False)
+        whose = np.repeat(np.arange(n), cells.value_lengths().to_numpy(zero_copy_only=False))
+        place = np.minimum(np.searchsorted(self._cells, flat), len(self._cells) - 1)
+        there = self._cells[place] == flat
+        whose, place = whose[there], place[there]
+        slack = _slack(asked, self._longest)
+        lowest = least - slack
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settle() -> tuple:
+            q, at = (np.concatenate([x[i] for x in waiting]) for i in (0, 1))
+            waiting.clear()
+            other = self._ids[at] != asked_ids[q]
+            q, at = q[other], at[other]
+            score = np.zeros(len(q))
+            for low in range(0, len(q), 1 << 16):
+                part = slice(low, low + (1 << 16))
+                score[part] = exact(asked[q[part]], self._data[at[part]])
+            q, at = np.concatenate((kept[0], q)), np.concatenate((kept[1], at))
+            score = np.concatenate((kept[2], score))
+            order = np.lexsort((self._ids[at], -score, q))
+            q, at, score = q[order], at[order], score[order]
+            begins = np.searchsorted(q, np.arange(n))
+            rank = np.arange(len(q)) - begins[q]
+            last = rank == k - 1
+            lowest[q[last]] = np.maximum(lowest[q[last]], score[last] - slack[q[last]])
+            first = rank < k
+            return q[first], at[first], score[first]
+
+        held = 0
+        order = np.argsort(place, kind="stable")
+        whose, place = whose[order], place[order]
+        edges = np.flatnonzero(np.diff(place, prepend=-1, append=-1)) if len(place) else np.zeros(1, np.int64)
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            start = int(self._starts[place[a]])
+            end = start + int(self._sizes[place[a]])
+            for low in range(start, end, rows):
+                block = self._data[low : min(end, low + rows)].T
+                for near in range(a, b, rows):
+                    queries = whose[near : min(b, near + rows)]
+                    q, at = np.nonzero(asked[queries] @ block >= lowest[queries][:, None])
+                    waiting.append((queries[q], at + low))
+                    held += len(q)
+                    if held >= most:
+                        kept, held = settle(), 0
+        if waiting:
+            kept = settle()
+        sizes = np.bincount(kept[0], minlength=n)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
         return {
-            "query_id": np.repeat(list(held), [len(x) for x, _ in held.values()]).astype(np.int64),
-            "vec_id": np.concatenate([np.zeros(0, np.int64), *(x for x, _ in held.values())]),
-            "score": np.concatenate([np.zeros(0), *(s for _, s in held.values())]),
+            "query_id": asked_ids,
+            "met": np.bincount(whose, weights=self._sizes[place], minlength=n).astype(np.int64),
+            "vec_ids": _list_of(offsets, pa.array(self._ids[kept[1]])),
+            "far": _list_of(offsets, pa.array(-kept[2])),
         }
 
 
-def _rank(best: _Best, ids: np.ndarray, data: np.ndarray, queries: list, k: int) -> None:
-    """Nearest of one block for each query: a product of matrices, then the exact measure."""
-    asked = np.array([v for _, v in queries], np.float64)
-    for at in range(0, len(asked), 256):
-        rough = asked[at : at + 256] @ data.T
-        for row, (query, vector) in zip(rough, queries[at : at + 256]):
-            others = np.flatnonzero(ids != query)
-            if not len(others):
-                continue
-            values = row[others]
-            if len(others) > k:
-                # Rounding differs by place in the product, so near ties stay in.
-                least = np.partition(values, len(values) - k)[len(values) - k]
-                others = others[values >= least - 1e-9 * max(1.0, abs(least))]
-            scores = exact(np.asarray(vector, np.float64)[None, :], data[others])
-            best.add(query, ids[others], scores)
+def _list_of(offsets: pa.Array, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(offsets, values).cast(pa.list_(pa.field("element", values.type)))
 
 
 def _lists(met: DataFrame, k: int, dimension: int) -> DataFrame:
-    """``query_id, vec_id, score``: the ``k`` nearest of each query in what each task has met."""
-    met = met.repartition(*_KEY).sortWithinPartitions(*_KEY, "role")
+    """``query_id, table, met, vec_ids, far``: the ``k`` nearest of each query in each shard."""
+    met = met.repartition(*_SHARD).sortWithinPartitions(*_SHARD, "role", "cell")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        best, current = _Best(k), None
-        ids: list[np.ndarray] = []
-        parts: list[np.ndarray] = []
-        waiting: list = []
-
-        def settle() -> None:
-            if ids and waiting:
-                _rank(best, np.concatenate(ids), np.concatenate(parts), waiting, k)
-            waiting.clear()
-
+        current, shard = None, None
+        waiting: tuple[list, list, list] = ([], [], [])
         for batch in batches:
-            place = np.stack([batch[n].to_numpy() for n in (*_KEY, "role")])
+            place = np.stack([batch[n].to_numpy() for n in (*_SHARD, "role")])
             if not place.shape[1]:
                 continue
-            data, vec_ids = _matrix(batch["v"], dimension), batch["vec_id"].to_numpy()
+            data, ids = _matrix(batch["v"], dimension), batch["vec_id"].to_numpy()
+            cells, least = batch["cell"].to_numpy(), batch["least"].to_numpy()
             edge = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), place.shape[1]]):
-                *block, role = place[:, a].tolist()
-                if block != current:
-                    settle()
-                    ids.clear()
-                    parts.clear()
-                    current = block
+                *at, role = place[:, a].tolist()
+                if at != current:
+                    current, shard = at, None
+                    waiting = ([], [], [])
                 if role == 0:
-                    ids.append(vec_ids[a:b])
-                    parts.append(data[a:b])
-                else:
-                    waiting.extend(zip(vec_ids[a:b].tolist(), data[a:b]))
-                    if len(waiting) >= 4096:
-                        settle()
-            if best.full():
-                yield best.rows()
-        settle()
-        yield best.rows()
+                    for held, values in zip(waiting, (cells, ids, data)):
+                        held.append(values[a:b])
+                elif waiting[0]:
+                    shard = shard or _Shard(*waiting)
+                    found = shard.answer(ids[a:b], data[a:b], least[a:b], batch["cells"].slice(a, b - a), k)
+                    yield {"table": np.full(b - a, at[1])} | found
+
+    schema = "query_id long, table int, met long, vec_ids array<long>, far array<double>"
+    return map_rows(met, run, schema)
 
-    return map_rows(met, run, "query_id long, vec_id long, score double")
 
+def _merged(lists: list[DataFrame], first: DataFrame, k: int, tables: int) -> DataFrame:
+    """``query_id, met, found``: the ``k`` nearest of each query over all lists, nearest first.
 
-def _merged(lists: list[DataFrame], k: int) -> DataFrame:
-    """``query_id, found``: the ``k`` nearest of each query over all lists, nearest first."""
-    # At most k rows of a query from each task.
-    found = reduce(DataFrame.unionByName, lists)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id")))
-    return found.groupBy("query_id").agg(F.slice(ranked, 1, k).alias("found"))
+    ``met`` is how many vectors a query has met in the table where it met most of them,
+    and in full passes.
+    """
+    own = first.select(
+        "query_id", F.lit(-2).alias("table"), F.lit(0).cast("long").alias("met"), "vec_ids", "far"
+    )
+    found = reduce(DataFrame.unionByName, [own, *lists])
+
+    def seen(t: int) -> Column:
+        return F.sum(F.when(F.col("table") == t, F.col("met")).otherwise(0))
+
+    # At most k rows of a query from each shard it looked into.
+    near = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("far", "vec_ids"))))
+    # A vector comes once from each table, the sample and a full pass.
+    near = F.slice(F.array_distinct(F.slice(near, 1, k * (tables + 2))), 1, k)
+    met = F.array_max(F.array(*(seen(t) for t in range(max(1, tables))))) + seen(-1)
+    return found.groupBy("query_id").agg(near.alias("found"), met.alias("met"))
 
 
 def search(
@@ -422,6 +555,7 @@ def search(
     is_query: Column,
     k: int = 20,
     block_rows: int = 2048,
+    sample: int = 2048,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     **options,
@@ -450,34 +584,34 @@ def search(
         return spark.createDataFrame([], schema)
     dimension = common["size"]
     own = own.filter(F.size("v") == dimension)
-    own, tables, counts, n_asked = _ranges(own, is_query, k, **options)
-    asked = own.filter(is_query)
+    # At most ``sample`` vectors.
+    drawn = Sample(*_arrays(own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()))
+    own, tables, counts, n_asked = _ranges(own, is_query, drawn, k, **options)
+    asked, _ = cut(first_candidates(own.filter(is_query), drawn, k, dimension))
+    per_range = max((len(t.directions) for t in tables.values()), default=0)
 
     # Ranges without tables are looked through in full.
     full = sorted(counts.keys() - tables.keys())
     met = []
     if tables:
-        indexed = own.filter(F.col("range").isin(sorted(tables)))
-        met.append(_in_buckets(index_rows(indexed, tables, dimension), probe_rows(asked, tables, dimension), block_rows))
+        indexed = index_rows(own.filter(F.col("range").isin(sorted(tables))), tables, dimension)
+        probes = probe_rows(asked, tables, dimension)
+        met.append(_in_buckets(indexed, probes, asked, {r: counts[r] for r in tables}, block_rows))
     if full:
         rest = own.filter(F.col("range").isin(full))
         met.append(_in_full(rest, asked, sum(counts[r] for r in full), n_asked, block_rows))
-    lists = [_lists(m, k, dimension) for m in met]
-    found = _merged(lists, k)
+    found = _merged([_lists(m, k, dimension) for m in met], asked, k, per_range)
     if tables:
-        # Queries that met too few vectors look at all of them.
+        # Queries that met too few vectors, themselves included, look at all of them.
         found, _ = cut(found)
-        least = min(k, common["n"] - 1)
-        enough = found.filter(F.size("found") >= least)
-        short, seen = cut(
-            asked.join(enough, asked["vec_id"] == enough["query_id"], "left_anti"), n=F.count(F.lit(1))
-        )
+        enough = found.filter(F.col("met") > min(k, common["n"] - 1))
+        short, seen = cut(asked.join(enough, "query_id", "left_anti"), n=F.count(F.lit(1)))
         if seen["n"]:
             again = _in_full(own, short, common["n"], seen["n"], block_rows)
-            found = enough.unionByName(_merged([_lists(again, k, dimension)], k))
+            found = enough.unionByName(_merged([_lists(again, k, dimension)], short, k, per_range))
     return found.select("query_id", F.posexplode("found").alias("at", "one")).select(
         "query_id",
         (F.col("at") + 1).cast("int").alias("rank"),
-        F.col("one.vec_id").alias("vec_id"),
+        F.col("one.vec_ids").alias("vec_id"),
         (-F.col("one.far")).alias("score"),
     )
