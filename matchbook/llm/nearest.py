@@ -567,6 +567,7 @@ def search(
     null, zero, of another length than most, or hold null or non-finite components
     take no part; nor do rows with a null id. Rows that repeat an id and vector are one;
     of different vectors with one id the smallest stands for it. Fewer than ``k`` other vectors are all returned.
+    Further columns, whatever their names, are not looked at.
     """
     spark = vectors.sparkSession
     own = vectors.select(

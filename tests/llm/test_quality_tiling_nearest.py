@@ -332,6 +332,18 @@ def test_queries_that_meet_too_few_vectors_see_all(spark, monkeypatch):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found} == expected
 
 
+def test_clashing_columns_and_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(600).round(2).tolist()) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    names = ["range", "table", "bucket", "block", "shard", "cell", "cells", "role", "norm", "v", "least", "query_id"]
+    extra = table.select("*", *(F.lit("x").alias(n) for n in names))
+    is_query = F.col("vec_id") % 20 == 0
+    plain = nearest.search(table, is_query, k=5, small=0, sample=16).collect()
+    clashing = nearest.search(extra, is_query, k=5, small=0, sample=16).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, clashing)) and len(plain) == 15
+
+
 def test_probes_go_on_to_farther_cells():
     cells = nearest.probe_cells(np.array([0.5, 0.2]), 40)
     assert len({tuple(c) for c in cells.tolist()}) == 40 and np.abs(cells).max() >= 2
