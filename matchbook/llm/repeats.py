@@ -27,7 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.induced import repeated_positions
-from matchbook.llm.texts import Rolling, anchors, byte_prefix, keyed_documents, map_rows, runs, same_document
+from matchbook.llm.texts import (
+    Rolling,
+    anchors,
+    byte_prefix,
+    keyed_documents,
+    let_go,
+    map_rows,
+    runs,
+    same_document,
+)
 from matchbook.runtime import cut
 
 GRAM = 32
@@ -208,7 +217,11 @@ def repeated_windows(
     if size < GRAM:
         raise ValueError(f"strings of fewer than {GRAM} bytes have no anchors")
     keyed = keyed_documents(docs, **columns)
-    found = blocks(keyed, size)
+    every = blocks(keyed, size)
+    # Most anchors are met once. Anchors alone tell which, and only the others' blocks are kept.
+    met = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    found, _ = cut(every.join(met.select("anchor"), "anchor"))
+    let_go(docs.sparkSession)
     contents = found.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min(F.struct("doc_id", "text_key", "at", "n")).alias("first"),
@@ -245,6 +258,7 @@ def repeated_windows(
     pieces, seen = cut(
         _block_texts(texts, size), bytes=F.sum(F.length("data")), hot=F.count("part")
     )
+    let_go(docs.sparkSession)
     shards = max(1, -(-(seen["bytes"] or 0) // shard_bytes))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.filter(F.col("data").isNotNull()).drop("part", "content", "hashes")

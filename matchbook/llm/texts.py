@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of other characters than these; lines are stripped of them.
@@ -81,6 +81,16 @@ def uncollected(fn: Callable[[Iterator[dict]], Iterator[dict]]) -> Callable:
     return run
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the files of shuffles deleted that nothing refers to any more.
+
+    Spark deletes them once the driver's JVM has collected what referred to them, and a
+    driver with memory to spare seldom collects. Called after a checkpoint, so that the
+    shuffles before it don't lie on the executors' disks beside those to come.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, (pa.Array, pa.ChunkedArray)):
         return values
