@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.operators.hubs import HUB_FLOOR, HUB_SHARE, hub_join, hub_threshold
-from matchbook.runtime import cut
+from matchbook.runtime import cut, fixed_plans
 
 
 def connected_groups(
@@ -29,7 +29,8 @@ def connected_groups(
     ``group_id`` is the smallest id of the group. With ``scope`` columns, ids are
     joined up only by edges of the same scope, for all scopes in one run.
 
-    Ids are numbered once, so that the rounds move pairs of longs only.
+    Ids are numbered once, so that the rounds move pairs of longs only. No key that is
+    shuffled there is large, so a half round is one job without adaptive execution.
     """
     scope = list(scope)
     met, seen = cut(
@@ -55,25 +56,26 @@ def connected_groups(
     )
     n_links, forest = seen["links"], False
     moving = n_links > 0
-    while moving:
-        threshold = _threshold(2 * n_links, hub_share, hub_floor)
-        links, seen = cut(_raise(links, threshold), moved=F.count_if("moved"))
-        links, moving = links.drop("moved"), seen["moved"] > 0
-        if not forest:
-            links, seen = cut(
-                _merge(links, threshold), links=F.count(F.lit(1)), moved=F.count_if("moved")
+    with fixed_plans(edges.sparkSession):
+        while moving:
+            threshold = _threshold(2 * n_links, hub_share, hub_floor)
+            links, seen = cut(_raise(links, threshold), moved=F.count_if("moved"))
+            links, moving = links.drop("moved"), seen["moved"] > 0
+            if not forest:
+                links, seen = cut(
+                    _merge(links, threshold), links=F.count(F.lit(1)), moved=F.count_if("moved")
+                )
+                links, n_links = links.drop("moved"), seen["links"]
+                # Once each node has one lower neighbour, raising keeps it so.
+                forest = seen["moved"] == 0
+                moving = moving or not forest
+
+        labels = links.select(F.col("node").alias("key"), F.col("low").alias("root"))
+        placed, _ = cut(
+            members.join(labels, "key", "left").select(
+                *scope, "id", F.coalesce("root", "key").alias("root")
             )
-            links, n_links = links.drop("moved"), seen["links"]
-            # Once each node has one lower neighbour, raising keeps it so.
-            forest = seen["moved"] == 0
-            moving = moving or not forest
-
-    labels = links.select(F.col("node").alias("key"), F.col("low").alias("root"))
-    placed, _ = cut(
-        members.join(labels, "key", "left").select(
-            *scope, "id", F.coalesce("root", "key").alias("root")
         )
-    )
     groups = placed.groupBy("root").agg(
         F.min("id").alias("group_id"), F.count(F.lit(1)).alias("fan")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchbook.operators.graph import PropertyGraph, endpoint_ids
 from matchbook.operators.hubs import HUB_FLOOR, HUB_SHARE, hub_threshold
-from matchbook.runtime import cut, shuffle_width
+from matchbook.runtime import cut, fixed_plans, shuffle_width
 
 
 def pagerank(
@@ -18,6 +18,7 @@ def pagerank(
     normalise: bool = True,
     hub_share: float = HUB_SHARE,
     hub_floor: int = HUB_FLOOR,
+    rounds_per_cut: int = 2,
 ) -> DataFrame:
     """Rank of every vertex as ``(id, rank)``.
 
@@ -28,11 +29,12 @@ def pagerank(
     ``normalise`` the ranks sum to the number of vertices. Parallel edges count
     each; ranks held by vertices without out-edges are not redistributed.
 
-    Parallel edges become one weighted edge before anything iterates. The edges
-    are partitioned by source once; a round shuffles the state, one row for each
-    vertex, and the gains, which are summed on the map side first. Edges that
-    leave a hub are never shuffled by their source. Every round ends in a
-    checkpoint, which also counts the vertices that are still active.
+    Parallel edges become one weighted edge before anything iterates. Edges by source
+    and state by id are partitioned alike and sorted once; rounds merge them as they lie
+    and shuffle the gains only, summed on the map side first. Edges that leave a hub are
+    never partitioned by their source. ``rounds_per_cut`` rounds make one job, which ends
+    in a checkpoint and counts the vertices that are still active; rounds after the
+    last active vertex change no rank.
     """
     width = shuffle_width(graph.edges.sparkSession)
     links, _ = cut(
@@ -59,42 +61,53 @@ def pagerank(
     )
     active = reset > tol
 
-    cold = links
-    if has_hubs:
-        hub_ids = F.broadcast(start.filter(hub).select(F.col("id").alias("src")))
-        hot = links.join(hub_ids, "src", "left_semi").persist()
-        cold = links.join(hub_ids, "src", "left_anti")
-    cold = cold.repartition(width, "src").persist()
-
-    done = 0
-    while active and (max_rounds is None or done < max_rounds):
-        state = state.repartition(width, "id").persist()
-        sent = state.filter((F.col("delta") > tol) & F.col("out_weight").isNotNull()).select(
-            F.col("id").alias("src"), (F.col("delta") / F.col("out_weight")).alias("share"), "hub"
-        )
-        flow = cold.join(sent.filter(~F.col("hub")), "src").select("dst", "weight", "share")
+    with fixed_plans(graph.edges.sparkSession):
+        cold, held = links, []
         if has_hubs:
-            flow = flow.union(
-                hot.join(F.broadcast(sent.filter("hub")), "src").select("dst", "weight", "share")
+            hub_ids = F.broadcast(start.filter(hub).select(F.col("id").alias("src")))
+            hot = links.join(hub_ids, "src", "left_semi").persist()
+            cold = links.join(hub_ids, "src", "left_anti")
+            held.append(hot)
+        cold = cold.repartition(width, "src").sortWithinPartitions("src").persist()
+        held.append(cold)
+        state = state.repartition(width, "id").sortWithinPartitions("id")
+
+        def after_round(state: DataFrame) -> DataFrame:
+            sent = state.filter((F.col("delta") > tol) & F.col("out_weight").isNotNull()).select(
+                F.col("id").alias("src"), (F.col("delta") / F.col("out_weight")).alias("share"), "hub"
+            )
+            flow = cold.join(sent.filter(~F.col("hub")).hint("merge"), "src")
+            flow = flow.select("dst", "weight", "share")
+            if has_hubs:
+                heavy = hot.join(F.broadcast(sent.filter("hub")), "src")
+                flow = flow.union(heavy.select("dst", "weight", "share"))
+            gains = flow.groupBy(F.col("dst").alias("id")).agg(
+                (F.sum(F.col("weight") * F.col("share")) * (1.0 - reset)).alias("gain")
             )
-        gains = flow.groupBy(F.col("dst").alias("id")).agg(
-            (F.sum(F.col("weight") * F.col("share")) * (1.0 - reset)).alias("gain")
-        )
-        gain = F.coalesce("gain", F.lit(0.0))
-        following, seen = cut(
-            state.join(gains, "id", "left").select(
+            gain = F.coalesce("gain", F.lit(0.0))
+            return state.join(gains.hint("merge"), "id", "left").select(
                 "id", "out_weight", "hub", (F.col("rank") + gain).alias("rank"), gain.alias("delta")
-            ),
-            active=F.count_if(F.col("delta") > tol),
-            total=F.sum("rank"),
-            n=F.count(F.lit(1)),
-        )
-        state.unpersist()
-        state, active, done = following, seen["active"] > 0, done + 1
+            )
+
+        done = 0
+        while active and (max_rounds is None or done < max_rounds):
+            rounds = rounds_per_cut if max_rounds is None else min(rounds_per_cut, max_rounds - done)
+            passed = []
+            for _ in range(rounds):
+                passed.append(state.persist())
+                state = after_round(state)
+            state, seen = cut(
+                state,
+                active=F.count_if(F.col("delta") > tol),
+                total=F.sum("rank"),
+                n=F.count(F.lit(1)),
+            )
+            for table in passed:
+                table.unpersist()
+            active, done = seen["active"] > 0, done + rounds
 
-    cold.unpersist()
-    if has_hubs:
-        hot.unpersist()
+        for table in held:
+            table.unpersist()
     rank = F.col("rank")
     if normalise and done:
         rank = rank * (seen["n"] / seen["total"])

@@ -6,8 +6,10 @@ node can read, so that a lost executor costs a re-read and not a re-run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings for the session that runs these operators. The JVM leaves methods above
 # 8000 bytes of code uncompiled, so wide projections run three times as fast when
@@ -54,3 +56,19 @@ def cut(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def fixed_plans(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside run as they are, in one job, and keep the partitioning they state.
+
+    For loops that lay their tables out themselves. Adaptive execution runs a job for each
+    shuffle and merges partitions as it goes, so a next round couldn't rely on the layout.
+    """
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
