@@ -121,3 +121,28 @@ def test_pagerank_ranks_sum_to_vertices(spark):
 def test_pagerank_without_edges(spark):
     graph = PropertyGraph(spark.createDataFrame([(1,), (2,)], "id long"), frame(spark, []))
     assert dict(rows(pagerank(graph))) == {1: 1.0, 2: 1.0}
+
+
+@pytest.mark.parametrize("rounds_per_cut", [1, 3])
+def test_rounds_of_a_job_change_no_rank(spark, rounds_per_cut):
+    edges = random_edges(30, 120, 4)
+    ids = list(range(30))
+    graph = PropertyGraph(spark.createDataFrame([(i,) for i in ids], "id long"), frame(spark, edges))
+    options = {"normalise": False, "rounds_per_cut": rounds_per_cut}
+    found = dict(rows(pagerank(graph, tol=1e-2, **options)))
+    assert found == pytest.approx(brute_pagerank(ids, edges, 1e-2), abs=1e-12)
+    fixed = dict(rows(pagerank(graph, tol=0.0, max_rounds=4, **options)))
+    assert fixed == pytest.approx(brute_pagerank(ids, edges, 0.0, 4), abs=1e-12)
+
+
+def test_loops_run_few_jobs_and_leave_the_settings(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    edges = random_edges(30, 120, 4)
+    graph = PropertyGraph(spark.createDataFrame([(i,) for i in range(30)], "id long"), frame(spark, edges))
+    spark.sparkContext.setJobGroup("loops", "loops")
+    pagerank(graph, tol=0.0, max_rounds=20)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("loops"))
+    spark.sparkContext.setJobGroup("others", "others")
+    # A job for two rounds, and those that lay out links and state.
+    assert jobs <= 20
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
