@@ -19,6 +19,11 @@ BOOLEAN_FORM = "(?i)^(true|false)$"
 WHOLE_FORM = r"^[+-]?[0-9]+$"
 NUMBER_FORM = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 DATE_FORM = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+#: Text of any of these; anchored as a whole, so that other text is left at its first character.
+ANY_FORM = (
+    r"^(?:(?i:true|false)|[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?"
+    "|[0-9]{4}-[0-9]{2}-[0-9]{2})$"
+)
 
 #: From the narrowest to the widest; a column without values is text.
 LATTICE = ("boolean", "int", "bigint", "double", "date")
@@ -27,42 +32,66 @@ LATTICE = ("boolean", "int", "bigint", "double", "date")
 MALFORMED = "_malformed"
 
 
-def _reads(value: Column, data_type: str) -> Column:
-    """Whether the text is a value of the type; null for null.
+def _readers(value: Column) -> Column:
+    """Bits of the types that read the text, by their place in ``LATTICE``; null for null.
 
-    Forms come first, as a failed cast is dear.
+    Forms come first, as a failed cast is dear, and one form for all of them before the
+    others: most text is of none.
     """
-    form = {"boolean": BOOLEAN_FORM, "double": NUMBER_FORM, "date": DATE_FORM}.get(data_type, WHOLE_FORM)
-    written = value.rlike(form)
-    if data_type in ("boolean", "double"):
-        return written
-    return F.when(written, value.try_cast(data_type).isNotNull()).when(~written, False)
+
+    def bits(*types: str) -> Column:
+        return F.lit(sum(1 << LATTICE.index(t) for t in types))
+
+    whole = (
+        F.when(value.try_cast("int").isNotNull(), bits("int", "bigint", "double"))
+        .when(value.try_cast("bigint").isNotNull(), bits("bigint", "double"))
+        .otherwise(bits("double"))
+    )
+    return (
+        F.when(value.isNull(), None)
+        .when(~value.rlike(ANY_FORM), F.lit(0))
+        .when(value.rlike(WHOLE_FORM), whole)
+        .when(value.rlike(NUMBER_FORM), bits("double"))
+        .when(value.rlike(BOOLEAN_FORM), bits("boolean"))
+        .when(value.try_cast("date").isNotNull(), bits("date"))
+        .otherwise(F.lit(0))
+    )
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column_name, n_values, n_missing, data_type`` of text columns, in one pass.
 
     Null and empty text are missing and fit any type; blanks around a value don't count.
+    The values of a row go one by one through the same small expression: the JVM leaves a
+    method over all columns uncompiled once it is large, whatever the session's settings.
     """
     names = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)])
-    found = []
-    for name in names:
-        value = F.trim(F.col(name))
-        given = F.nullif(value, F.lit(""))
-        bits = {t: F.min(_reads(given, t)) for t in LATTICE}
-        data_type = F.lit("string")
-        for t in reversed(LATTICE):
-            # No value: min is null, and so the type stays text.
-            data_type = F.when(bits[t], F.lit(t)).otherwise(data_type)
-        found.append(
-            F.struct(
-                F.lit(name).alias("column_name"),
-                F.count(given).alias("n_values"),
-                F.count_if(given.isNull()).alias("n_missing"),
-                data_type.alias("data_type"),
-            )
+    place = "_place"
+    values = df.select(F.posexplode(F.array(*[F.col(name).cast("string") for name in names])).alias(place, "_text"))
+    # One row for each column and task leaves the scan.
+    seen = (
+        values.select(place, F.nullif(F.trim("_text"), F.lit("")).alias("_given"))
+        .select(place, _readers(F.col("_given")).alias("_bits"))
+        .groupBy(place)
+        .agg(
+            F.bit_and("_bits").alias("_bits"),
+            F.count("_bits").alias("n_values"),
+            F.count_if(F.col("_bits").isNull()).alias("n_missing"),
         )
-    return df.agg(F.array(*found).alias("types")).select(F.inline("types"))
+    )
+    # No value: the bits are null, and so the type stays text.
+    data_type = F.lit("string")
+    for i in reversed(range(len(LATTICE))):
+        data_type = F.when(F.getbit("_bits", F.lit(i)) == 1, LATTICE[i]).otherwise(data_type)
+    none = F.lit(0).cast("bigint")
+    # Every column has its row, in a table without rows too.
+    every = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, names))).alias(place, "column_name"))
+    return every.join(F.broadcast(seen), place, "left").select(
+        "column_name",
+        F.coalesce("n_values", none).alias("n_values"),
+        F.coalesce("n_missing", none).alias("n_missing"),
+        data_type.alias("data_type"),
+    )
 
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -53,6 +53,26 @@ def test_one_late_value_widens_a_column(spark):
     assert infer_types(late).first()["data_type"] == "double"
 
 
+def test_code_does_not_grow_with_the_columns(spark, capsys):
+    """One small aggregate for any number of columns: a large one is run uncompiled."""
+    wide = spark.range(10).select(*[F.col("id").cast("string").alias(f"c{i}") for i in range(30)])
+    aggregates = []
+    for columns in (wide.columns[:3], wide.columns):
+        infer_types(wide, columns).explain()
+        aggregates.append(capsys.readouterr().out.count("partial_"))
+    assert aggregates[0] == aggregates[1] > 0
+
+
+def test_forms_of_values(spark):
+    """Columns that aren't text are read as text; a value is of the least type that reads it."""
+    values = ["+5", "1.", ".5E+3", "tRuE", "2020-02-30", "99999999999999999999", "1 2", "5\n"]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "a string, n int")
+    found = [infer_types(df.filter(F.col("n") == i), ["a", "n"]).collect() for i in range(len(values))]
+    types = [[r["data_type"] for r in sorted(x, key=lambda r: r["column_name"])] for x in found]
+    wanted = ["int", "double", "double", "boolean", "string", "double", "string", "int"]
+    assert types == [[t, "int"] for t in wanted]
+
+
 CSV = '''id,name,day,price,open
 1,"Ann ""A"" Lee, two
 lines",2020-01-05,10,true
