@@ -9,20 +9,26 @@ diameter, and the number of links never grows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.operators.hubs import HUB_FLOOR, HUB_SHARE, hub_join, hub_threshold
 from matchbook.runtime import cut, fixed_plans
 
+#: Links that a task contracts at a time, whole scopes of them unless one has as many.
+CHUNK = 1_000_000
+
 
 def connected_groups(
     edges: DataFrame,
     scope: Sequence[str] = (),
     hub_share: float = HUB_SHARE,
     hub_floor: int = HUB_FLOOR,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Group of every id that an edge touches: ``(*scope, id, group_id)``.
 
@@ -30,7 +36,9 @@ def connected_groups(
     joined up only by edges of the same scope, for all scopes in one run.
 
     Ids are numbered once, so that the rounds move pairs of longs only. No key that is
-    shuffled there is large, so a half round is one job without adaptive execution.
+    shuffled there is large, so a half round is one job without adaptive execution. The
+    links of a scope meet in a task that contracts them ahead of the rounds; these are left
+    with what a large scope has in several tasks or chunks.
     """
     scope = list(scope)
     met, seen = cut(
@@ -50,12 +58,19 @@ def connected_groups(
     half = _lookup(met.filter(F.col("id") != F.col("id_2")), members, [*scope, "id"], threshold)
     half = half.select(*scope, F.col("id_2").alias("id"), F.col("key").alias("key_1"))
     keyed = _lookup(half, members, [*scope, "id"], threshold)
-    links, seen = cut(
-        keyed.select(F.greatest("key", "key_1").alias("node"), F.least("key", "key_1").alias("low")),
-        links=F.count(F.lit(1)),
-    )
+    ends = F.greatest("key", "key_1").alias("node"), F.least("key", "key_1").alias("low")
+    if scope:
+        links, seen = cut(
+            _contracted(keyed.select(F.xxhash64(*scope).alias("scope"), *ends), chunk),
+            links=F.count(F.lit(1)),
+            pieces=F.count_if("first"),
+        )
+        moving = seen["pieces"] > links.select("scope").distinct().count()
+        links = links.select("node", "low")
+    else:
+        links, seen = cut(keyed.select(*ends), links=F.count(F.lit(1)))
+        moving = seen["links"] > 0
     n_links, forest = seen["links"], False
-    moving = n_links > 0
     with fixed_plans(edges.sparkSession):
         while moving:
             threshold = _threshold(2 * n_links, hub_share, hub_floor)
@@ -83,6 +98,62 @@ def connected_groups(
     return _lookup(placed, groups, ["root"], threshold).select(*scope, "id", "group_id")
 
 
+def _contracted(links: DataFrame, chunk: int) -> DataFrame:
+    """``scope, node, low, first`` with the links of each scope as stars ``node, low``.
+
+    ``first`` marks a row of each scope and chunk: a scope with one such row is done.
+    Adaptive execution splits a partition that is too large; what is apart then stays
+    linked through the nodes it shares, and so does what is in two chunks.
+    """
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _chunks(batches, chunk):
+            arrays = [pa.array(column) for column in _stars(*columns)]
+            yield pa.RecordBatch.from_arrays(arrays, ["scope", "node", "low", "first"])
+
+    dealt = links.hint("rebalance", "scope").sortWithinPartitions("scope")
+    return dealt.mapInArrow(stars, "scope long, node long, low long, first boolean")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first one, cut where it changes if it does in a chunk."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+        rows += batch.num_rows
+        if rows < chunk:
+            continue
+        joined = [np.concatenate(parts) for parts in zip(*held, strict=True)]
+        # The last scope may go on in the next batch.
+        end = int(np.searchsorted(joined[0], joined[0][-1])) or rows
+        yield [column[:end] for column in joined]
+        held, rows = [[column[end:] for column in joined]], rows - end
+    if rows:
+        yield [np.concatenate(parts) for parts in zip(*held, strict=True)]
+
+
+def _stars(scope: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each node but the smallest of its group with its scope and that one; first of a scope.
+
+    Roots are hung on the smallest root they are linked to, and paths cut short, until no
+    link joins two groups.
+    """
+    nodes, met_at, ends = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
+    ends = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while ends.shape[1]:
+        np.minimum.at(root, ends.max(axis=0), ends.min(axis=0))
+        while (root != (up := root[root])).any():
+            root = up
+        ends = root[ends]
+        ends = ends[:, ends[0] != ends[1]]
+    hung = root != np.arange(len(nodes))
+    scopes = scope[met_at[hung] % len(scope)]
+    first = np.zeros(len(scopes), bool)
+    first[np.unique(scopes, return_index=True)[1]] = True
+    return scopes, nodes[hung], nodes[root[hung]], first
+
+
 def _raise(links: DataFrame, threshold: float | None) -> DataFrame:
     """Hang each node on the smallest id its lower neighbour can see."""
     ends = F.explode(

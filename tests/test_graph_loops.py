@@ -83,6 +83,34 @@ def test_groups_within_scope(spark):
     ]
 
 
+def scoped_edges(scopes=6, n=120, m=90):
+    return [(f"e{s}", *edge) for s in range(scopes) for edge in random_edges(n, m, s, 10_000)]
+
+
+def brute_scoped(edges):
+    wanted = []
+    for scope in {e[0] for e in edges}:
+        found = brute_groups([(a, b) for s, a, b in edges if s == scope])
+        wanted += [(scope, i, group) for i, group in found.items()]
+    return sorted(wanted)
+
+
+def test_whole_scopes_need_no_rounds(spark, monkeypatch):
+    """Each scope is contracted where its links meet; no round passes over them again."""
+    monkeypatch.setattr(components, "_raise", None)
+    edges = scoped_edges()
+    df = spark.createDataFrame(edges, "event string, src long, dst long")
+    assert sorted(rows(connected_groups(df, ["event"]))) == brute_scoped(edges)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 100])
+def test_scopes_cut_in_chunks(spark, chunk):
+    """Scopes larger than a chunk, and one far larger than the others."""
+    edges = scoped_edges() + [("hot", *e) for e in random_edges(400, 600, 9)]
+    df = spark.createDataFrame(edges, "event string, src long, dst long")
+    assert sorted(rows(connected_groups(df, ["event"], chunk=chunk))) == brute_scoped(edges)
+
+
 def test_long_chain_needs_few_rounds(spark, monkeypatch):
     n = 1000
     order = list(range(n))
