@@ -38,19 +38,22 @@ def rounded(df: DataFrame, digits: int = SCORE_DIGITS) -> DataFrame:
 
     Done in double arithmetic: ``round`` goes through decimals, row by row.
     """
-    scale = 10.0**digits
-
-    def near(name: str) -> Column:
-        steps = F.floor(F.abs(name) * scale + 0.5)
-        # Beyond that a double has no such digits; NaN counts as larger than all.
-        fine = F.abs(name) * scale < 2.0**52
-        return F.when(fine, F.signum(name) * steps / scale).otherwise(F.col(name)).alias(name)
-
     return df.select(
-        *[near(name) if data_type == "double" else F.col(name) for name, data_type in df.dtypes]
+        *[
+            nearest(F.col(name), digits).alias(name) if data_type == "double" else F.col(name)
+            for name, data_type in df.dtypes
+        ]
     )
 
 
+def nearest(c: Column, digits: int = SCORE_DIGITS) -> Column:
+    scale = 10.0**digits
+    steps = F.floor(F.abs(c) * scale + 0.5)
+    # Beyond that a double has no such digits; NaN counts as larger than all.
+    fine = F.abs(c) * scale < 2.0**52
+    return F.when(fine, F.signum(c) * steps / scale).otherwise(c)
+
+
 def _table(name: str, make: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: make(warehouse.table(spark, folder, name))
 
@@ -125,19 +128,20 @@ def one_hot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def assemble_features(spark: SparkSession, folder: str) -> DataFrame:
-    """The assembled vector, its numbers taken out again by position."""
+    """The assembled vector, its numbers taken out again by position.
+
+    They are rounded as one list: written out for each, the code of the rows grows so
+    large that the JVM leaves it uncompiled.
+    """
     rows = warehouse.listings(spark, folder)
     assembled = _fit(price_model.feature_pipeline(), rows).transform(rows)
-    slots = vector_to_array("features")
-    first = F.size("slots") - len(price_model.ASSEMBLED)
-    numbers = [
-        F.get("slots", first + i).alias(f"f_{name}")
-        for i, name in enumerate(price_model.ASSEMBLED)
-    ]
-    return rounded(
-        assembled.select("id", slots.alias("slots")).select(
-            "id", F.size("slots").alias("n_slots"), *numbers
-        )
+    slots = assembled.select("id", vector_to_array("features").alias("slots"))
+    n = len(price_model.ASSEMBLED)
+    numbers = F.transform(F.slice("slots", -n, n), lambda c: nearest(c)).alias("numbers")
+    return slots.select("id", F.size("slots").alias("n_slots"), numbers).select(
+        "id",
+        "n_slots",
+        *[F.get("numbers", F.lit(i)).alias(f"f_{name}") for i, name in enumerate(price_model.ASSEMBLED)],
     )
 
 

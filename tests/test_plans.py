@@ -134,3 +134,10 @@ def test_hot_player_is_split(spark, setting):
     assert named.count() == 60_000
     assert named.filter("src_name is null or dst_name is null").count() == 0
     assert "skew=true" in plan(named, final=True)
+
+
+def test_assembled_numbers_are_rounded_in_one_expression(spark, capsys):
+    """Rounding written out for each number makes a method that the JVM leaves uncompiled."""
+    registry.PRICES["assemble_features"](spark, SMALL).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("SIGNUM") == 1
