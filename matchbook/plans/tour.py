@@ -25,12 +25,13 @@ def match_details(graph: PropertyGraph) -> DataFrame:
 
 
 def match_list(graph: PropertyGraph) -> DataFrame:
-    named = graph.triplets(["name"])
+    """Who beat whom, by name of the winner; sorted first, so that no sentence is shuffled."""
+    named = graph.triplets(["name"]).select("match_id", "src_name", "dst_name", "match_type")
     sentence = F.concat_ws(
         " ", "src_name", F.lit("beat"), "dst_name", F.lit("in match"), "match_type"
     )
-    return named.select("match_id", "src_name", sentence.alias("sentence")).orderBy(
-        "src_name", "match_id"
+    return named.orderBy("src_name", "match_id").select(
+        "match_id", "src_name", sentence.alias("sentence")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from matchbook.operators.graph import PropertyGraph
 from matchbook.operators.ranking import best_per_group
-from matchbook.plans import registry
+from matchbook.plans import registry, tour
 
 QUERIES = registry.all_queries()
 LOOPS_AND_FITS = {
@@ -141,3 +141,17 @@ def test_assembled_numbers_are_rounded_in_one_expression(spark, capsys):
     registry.PRICES["assemble_features"](spark, SMALL).explain()
     plan = capsys.readouterr().out
     assert plan.count("SIGNUM") == 1
+
+
+def test_the_sentences_of_matches_are_made_after_the_sort(spark):
+    vertices = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    edges = spark.createDataFrame(
+        [("m2", 1, 2, "F"), ("m1", 1, 2, "S")], "match_id string, src long, dst long, match_type string"
+    )
+    found = tour.match_list(PropertyGraph(vertices, edges))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < text.index("concat_ws") < text.index("Sort [")
+    assert [tuple(r) for r in found.collect()] == [
+        ("m1", "a", "a beat b in match S"),
+        ("m2", "a", "a beat b in match F"),
+    ]
