@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -41,10 +42,6 @@ def _letters(text: str) -> bool:
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-class _Rough(Exception):
-    """A text with a space beside white space or at one of its ends."""
-
-
 class Chunks:
     """Encodes texts piece by piece, each distinct piece once as long as the memo holds it.
 
@@ -63,8 +60,8 @@ class Chunks:
     ):
         self._encode, self._longest = encode, longest
         self._many = encode_many or (lambda pieces: [encode(p) for p in pieces])
-        self._inner = Memo(self._spaced, most)
-        self._first = Memo(self._plain, most // 10)
+        self._inner = Memo(lambda piece: encode(" " + piece), most)
+        self._first = Memo(encode, most // 10)
 
     def all_ids(self, texts: list[str], group_chars: int = 1 << 20) -> Iterator[bytes]:
         """Ids of each text; the new pieces of some texts are encoded together."""
@@ -72,54 +69,58 @@ class Chunks:
         for high, text in enumerate(texts, 1):
             held += len(text)
             if held >= group_chars or high == len(texts):
-                self._learn(texts[low:high])
-                yield from map(self.ids, texts[low:high])
+                yield from self._group_ids(texts[low:high])
                 low, held = high, 0
 
-    def _learn(self, texts: list[str]) -> None:
-        pieces: set[str] = set()
-        for text in texts:
-            pieces.update(text.split(" "))
+    def _group_ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Every piece is looked up once; those that the memo lacks are learnt together."""
+        group = [text.split(" ") for text in texts]
+        flat = list(chain.from_iterable(pieces[1:] for pieces in group))
+        found = list(map(self._inner.get, flat))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        learnt = self._learn({flat[i] for i in lacking}, {pieces[0] for pieces in group})
+        for i in lacking:
+            found[i] = learnt.get(flat[i])
+        at = 0
+        for text, pieces in zip(texts, group):
+            inner = found[at : at + len(pieces) - 1]
+            at += len(inner)
+            if None in inner or not self._held(pieces[0]):
+                yield self._rough(text)
+            else:
+                yield self._first[pieces[0]] + b"".join(inner)
+
+    def _learn(self, inner: set[str], heads: set[str]) -> dict[str, bytes]:
+        """Ids of the inner pieces; those that can't be held have none."""
         wanted, ended = set(), []
-        for piece in self._inner.lacks(pieces):
-            if not 0 < len(piece) <= self._longest or piece[0].isspace() or piece[-1].isspace():
-                continue
+        for piece in filter(self._held, self._inner.lacks(inner)):
             if piece[-1] in _ENDS and _letters(piece[:-1]):
                 ended.append(piece)
                 piece = piece[:-1]
             wanted.add(piece)
         new = self._inner.lacks(wanted)
-        for piece, ids in zip(new, self._many([" " + p for p in new])):
-            self._inner.put(piece, ids)
-        for piece in ended:
-            self._inner.put(piece, self._inner[piece[:-1]] + self._first[piece[-1]])
-
-    def _plain(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Rough
-        return self._encode(piece)
+        self._inner.put_all(dict(zip(new, self._many([" " + p for p in new]))))
+        self._inner.put_all({p: self._inner[p[:-1]] + self._first[p[-1]] for p in ended})
+        new = list(filter(self._held, self._first.lacks(heads)))
+        self._first.put_all(dict(zip(new, self._many(new))))
+        return {p: self._inner[p] for p in inner if self._held(p)}
 
-    def _spaced(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Rough
-        return self._encode(" " + piece)
+    def _held(self, piece: str) -> bool:
+        """Neither empty nor long, no white space at its ends."""
+        return 0 < len(piece) <= self._longest and len(piece.strip()) == len(piece)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
+        return next(self.all_ids([text]))
+
+    def _rough(self, text: str) -> bytes:
+        """Ids of a text with a space beside white space or at an end, or with a long piece."""
         if not text:
             return b""
-        pieces = text.split(" ")
-        try:
-            if max(map(len, pieces)) <= self._longest:
-                head = self._first[pieces[0]]
-                return head + b"".join(map(self._inner.__getitem__, pieces[1:]))
-        except _Rough:
-            pass
         pieces = _INNER_SPACE.split(text)
         out = [self._encode(pieces[0])]
         for piece in pieces[1:]:
-            plain = len(piece) <= self._longest and not piece[-1].isspace()
-            out.append(self._inner[piece] if plain else self._encode(" " + piece))
+            out.append(self._inner[piece] if self._held(piece) else self._encode(" " + piece))
         return b"".join(out)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.bpe import Chunks
-from matchbook.llm.texts import keyed_documents, map_rows
+from matchbook.llm.texts import keyed_documents, map_rows, uncollected
 from matchbook.runtime import shared_folder
 
 # Fixed values of the seekable format and of the document index.
@@ -141,14 +141,48 @@ def library_chunks(path: str, **options) -> Chunks:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    sizes = _byte_sizes(tokenizer)
 
     def encode_many(texts: list[str]) -> list[bytes]:
+        if sizes is not None and len(texts) > 1 and texts[0][0] == " ":
+            return [ids for at in range(0, len(texts), 1024) for ids in encode_joined(texts[at : at + 1024])]
+        return encode_each(texts)
+
+    def encode_each(texts: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def encode_joined(texts: list[str]) -> list[bytes]:
+        """Pieces with a space before and none inside, as one text: its ids are cut where pieces end."""
+        text = "".join(texts)
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        data = np.frombuffer(text.encode("utf-8"), np.uint8)
+        ends = np.append(np.flatnonzero(data == ord(" "))[1:], len(data))
+        covered = np.cumsum(sizes[ids])
+        cuts = np.searchsorted(covered, ends)
+        if len(ends) != len(texts) or covered[-1] != len(data) or not np.array_equal(covered[cuts], ends):
+            return encode_each(texts)
+        raw, cuts = ids.tobytes(), (4 * (cuts + 1)).tolist()
+        return [raw[at:end] for at, end in zip([0, *cuts], cuts)]
+
     return Chunks(lambda text: encode_many([text])[0], encode_many, **options)
 
 
+def _byte_sizes(tokenizer) -> np.ndarray | None:
+    """Bytes of the text that each id stands for; none unless the vocabulary is one of plain bytes."""
+    cut = tokenizer.pre_tokenizer
+    if tokenizer.normalizer is not None or type(cut).__name__ != "ByteLevel" or cut.add_prefix_space:
+        return None
+    sizes = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True) + 1, np.int64)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        sizes[i] = len(token)  # a character for every byte
+    for i, token in tokenizer.get_added_tokens_decoder().items():
+        if token.lstrip or token.rstrip:
+            return None
+        sizes[i] = len(token.content.encode("utf-8"))
+    return sizes
+
+
 def write_tokens(
     docs: DataFrame,
     folder: str,
@@ -180,7 +214,7 @@ def write_tokens(
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         own = f"{root}/_part-{part:06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
-        chunks = library_chunks(path, most=150_000)
+        chunks = library_chunks(path)
         end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
         with fs.open_output_stream(own) as sink:
             writer = TokenWriter(sink, width, frame_ids)
@@ -199,7 +233,7 @@ def write_tokens(
         }
 
     # One row for each file.
-    rows = map_rows(ordered, run, "part int, name string, n_docs long, n_tokens long").collect()
+    rows = map_rows(ordered, uncollected(run), "part int, name string, n_docs long, n_tokens long").collect()
     files, before = [], 0
     for row in sorted(rows, key=lambda row: row["part"]):
         files.append(

@@ -20,6 +20,7 @@ from matchbook.llm.token_files import (
     token_folder,
     write_tokens,
 )
+from matchbook.llm.texts import Memo
 
 from .conftest import pairs, same_rows
 
@@ -154,3 +155,37 @@ def test_empty_tables(spark, nothing):
     assert round_trip(nothing, VOCABULARY).count() == 0
     files = write_tokens(nothing, token_folder(spark), VOCABULARY)
     assert files == [] and read_tokens(spark, files).count() == 0
+
+
+def test_pieces_set_aside_are_taken_back(library):
+    asked = []
+
+    def work(piece):
+        asked.append(piece)
+        return piece.upper()
+
+    memo = Memo(work, 4)
+    for batch in ({"a", "b", "c"}, {"d", "e"}, {"a", "b", "f", "g"}):
+        new = memo.lacks(set(batch))
+        memo.put_all({k: work(k) for k in new})
+        assert [memo[k] for k in batch] == [k.upper() for k in batch]
+    assert sorted(asked) == list("abcdefg")
+
+
+def test_the_library_is_asked_for_many_new_pieces_at_once(library, monkeypatch):
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **options):
+            calls.append(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(Tokenizer, "from_file", lambda path: Counted())
+    chunks = library_chunks.__wrapped__(VOCABULARY)
+    texts = [f"x{i} wörd{i} {i * i}, <|endoftext|>{i}" for i in range(500)]
+    for text, ids in zip(texts, chunks.all_ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == reference(library, text), text
+    assert len(calls) < 10
