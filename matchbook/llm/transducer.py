@@ -34,6 +34,9 @@ from matchbook.llm.texts import Memo, documents, map_rows, uncollected
 
 _ROOT = 0
 
+# Odd, and of 64 well mixed bits.
+_MIXER, _LOW_64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
 # A way to go on: tokens not yet written, the last token, the place in the trie.
 _Way = tuple[tuple[int, ...], int, int]
 
@@ -113,6 +116,8 @@ class Transducer:
 
     def _note(self, tokens: tuple[int, ...]) -> tuple[int, int]:
         at, n = self._n_tokens, len(tokens)
+        if not n:
+            return 0, 0
         if at + n > len(self._tokens):
             raise _Full
         self._tokens[at : at + n] = tokens
@@ -125,7 +130,8 @@ class Transducer:
             found = self._ids[ways] = len(self._ways)
             self._ways.append(ways)
             waiting = next((w for w, _, place in ways if place == _ROOT), ())
-            self._at_end[:, found] = self._note(waiting)
+            if waiting:
+                self._at_end[:, found] = self._note(waiting)
         return found
 
     def _side_by_side(self, left: int, right: int) -> bool:
@@ -163,15 +169,17 @@ class Transducer:
         ways, written = self._follow(key >> 8, key & 255)
         step = self._held
         self._to[step] = self._state(ways)
-        self._written[:, step] = self._note(written)
-        slot = int(self._slot_of(np.array([key]))[0])
+        if written:
+            self._written[:, step] = self._note(written)
+        # As ``_slot_of``, for one key.
+        slot = (key * _MIXER & _LOW_64) >> (64 - self._bits)
         while self._slots[slot] >= 0:
             slot = (slot + 1) & (len(self._slots) - 1)
         self._slots[slot], self._step_at[slot] = key, step
         self._held += 1
 
     def _slot_of(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = keys.astype(np.uint64) * np.uint64(_MIXER)
         return (mixed >> np.uint64(64 - self._bits)).astype(np.int64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
@@ -260,14 +268,22 @@ class RankEncoder:
     """Whole texts: each match of ``pattern`` goes through the transducer on its own.
 
     Texts are taken in groups of about ``group_chars``, and what occurs many times in
-    a group is encoded once. A longer text is a group for every so many matches.
+    a group is encoded once. A longer text is a group for every so many matches. Ids of
+    up to twice ``held`` matches, none longer than ``longest``, are known from group to group.
     """
 
     def __init__(
-        self, ranks: dict[bytes, int], pattern: str, most: int = 400_000, group_chars: int = 1 << 22
+        self,
+        ranks: dict[bytes, int],
+        pattern: str,
+        most: int = 600_000,
+        group_chars: int = 1 << 22,
+        held: int = 200_000,
+        longest: int = 64,
     ):
         self._pattern, self._group_chars = regex.compile(pattern), group_chars
         self.transducer = Transducer(ranks, most)
+        self._memo, self._longest = Memo(self._alone, held), longest
 
     def all_ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; special tokens have none."""
@@ -294,17 +310,25 @@ class RankEncoder:
         while part := [match[0] for match in islice(found, self._group_chars >> 3)]:
             yield part
 
+    def _alone(self, piece: str) -> bytes:
+        return self.transducer.all_ids([piece.encode("utf-8")])[0].astype("<u4").tobytes()
+
     def _encoded(self, group: list[list[str]]) -> Iterator[bytes]:
-        known = self._known(set().union(*group))
+        pieces: set[str] = set().union(*group)
+        long = {p for p in pieces if len(p) > self._longest}
+        self._memo.put_all(dict(self._walked(self._memo.lacks(pieces - long))))
+        known, own = self._memo.__getitem__, dict(self._walked(long))
         for pieces in group:
-            yield b"".join(map(known.__getitem__, pieces))
+            if own and not own.keys().isdisjoint(pieces):
+                yield b"".join([own[p] if p in own else known(p) for p in pieces])
+            else:
+                yield b"".join(map(known, pieces))
 
-    def _known(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of every piece. Pieces of a table are of like size, so that it has few empty places."""
+    def _walked(self, pieces: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Every piece and its ids. Pieces of a table are of like size, so that it has few empty places."""
         by_size: dict[int, list[str]] = {}
         for piece in sorted(pieces):
             by_size.setdefault(max(32, 1 << (len(piece) - 1).bit_length()), []).append(piece)
-        out: dict[str, bytes] = {}
         for size, alike in by_size.items():
             many = max(1, (1 << 22) // size)
             for low in range(0, len(alike), many):
@@ -312,8 +336,7 @@ class RankEncoder:
                 ids, starts = self.transducer.all_ids([piece.encode("utf-8") for piece in part])
                 raw, starts = ids.astype("<u4").tobytes(), (4 * starts).tolist()
                 for piece, at, end in zip(part, starts, starts[1:]):
-                    out[piece] = raw[at:end]
-        return out
+                    yield piece, raw[at:end]
 
 
 # Fixed values, from the definition of UTF-8: the bytes that may follow a leading byte

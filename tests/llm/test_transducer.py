@@ -121,3 +121,16 @@ def test_empty_table(nothing):
 def test_encode_then_decode(hard):
     back = decode_documents(encode_documents(hard, RANKS, PATTERN), RANKS)
     same_rows(back, pairs(hard), ["doc_id", "text"])
+
+
+def test_what_one_group_held_is_not_walked_again(ranks, library, monkeypatch):
+    encoder = RankEncoder(ranks, PATTERN, group_chars=40)
+    walked = []
+    walk = encoder.transducer.all_ids
+    monkeypatch.setattr(encoder.transducer, "all_ids", lambda pieces: walked.extend(pieces) or walk(pieces))
+    long = "q" * 70
+    texts = ["the cat and the dog", "the dog and a cat " + long, "a cat and the dog", long] * 3
+    for text, ids in zip(texts, encoder.all_ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+    short = [p for p in walked if len(p) < 64]
+    assert len(short) == len(set(short))
