@@ -16,10 +16,11 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -30,8 +31,8 @@ PRETOKENS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 
-#: Each is a pre-token of its own between a letter and a space.
-_ENDS = frozenset(".,;:!?")
+#: A run of these is a pre-token of its own between a letter and a space.
+_ENDS = ".,;:!?#$%&*)]}"
 
 
 def _letters(text: str) -> bool:
@@ -63,7 +64,7 @@ class Chunks:
         self._inner = Memo(lambda piece: encode(" " + piece), most)
         self._first = Memo(encode, most // 10)
 
-    def all_ids(self, texts: list[str], group_chars: int = 1 << 20) -> Iterator[bytes]:
+    def all_ids(self, texts: list[str], group_chars: int = 1 << 22) -> Iterator[bytes]:
         """Ids of each text; the new pieces of some texts are encoded together."""
         low = held = 0
         for high, text in enumerate(texts, 1):
@@ -73,37 +74,55 @@ class Chunks:
                 low, held = high, 0
 
     def _group_ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Every piece is looked up once; those that the memo lacks are learnt together."""
-        group = [text.split(" ") for text in texts]
-        flat = list(chain.from_iterable(pieces[1:] for pieces in group))
-        found = list(map(self._inner.get, flat))
+        """Every distinct piece is looked up once; the ids of all pieces are laid end to end by Arrow."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        starts, code = split.offsets.to_numpy(), coded.indices.to_numpy()
+        firsts = starts[:-1]
+        inside = np.ones(len(code), bool)
+        inside[firsts] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[code[inside]] = True
+        names = coded.dictionary.filter(pa.array(used)).to_pylist()
+        heads = split.flatten().take(pa.array(firsts)).to_pylist()
+
+        found = list(map(self._inner.get, names))
         lacking = [i for i, ids in enumerate(found) if ids is None]
-        learnt = self._learn({flat[i] for i in lacking}, {pieces[0] for pieces in group})
+        learnt = self._learn([names[i] for i in lacking], set(heads))
         for i in lacking:
-            found[i] = learnt.get(flat[i])
-        at = 0
-        for text, pieces in zip(texts, group):
-            inner = found[at : at + len(pieces) - 1]
-            at += len(inner)
-            if None in inner or not self._held(pieces[0]):
-                yield self._rough(text)
-            else:
-                yield self._first[pieces[0]] + b"".join(inner)
-
-    def _learn(self, inner: set[str], heads: set[str]) -> dict[str, bytes]:
+            found[i] = learnt.get(names[i])
+        found += [self._first[head] if self._held(head) else None for head in heads]
+
+        # A row of ``found`` for each piece: inner pieces by what they are, the others by their text.
+        row = (np.cumsum(used) - 1)[code]
+        row[firsts] = len(names) + np.arange(len(texts))
+        unheld = np.fromiter((ids is None for ids in found), bool, len(found))
+        rough = np.logical_or.reduceat(unheld[row], firsts).tolist()
+        laid = pa.array(found, pa.large_binary()).take(pa.array(row))
+        _, ends, data = laid.buffers()
+        cuts = np.frombuffer(ends, np.int64)[starts].tolist()
+        ids = memoryview(data if data is not None else b"")
+        for text, a, b, rest in zip(texts, cuts, cuts[1:], rough):
+            yield self._rough(text) if rest else ids[a:b].tobytes()
+
+    def _learn(self, inner: list[str], heads: set[str]) -> dict[str, bytes]:
         """Ids of the inner pieces; those that can't be held have none."""
-        wanted, ended = set(), []
-        for piece in filter(self._held, self._inner.lacks(inner)):
-            if piece[-1] in _ENDS and _letters(piece[:-1]):
-                ended.append(piece)
-                piece = piece[:-1]
-            wanted.add(piece)
-        new = self._inner.lacks(wanted)
+        inner = list(filter(self._held, inner))
+        wanted, ended = [], []
+        lacking = self._inner.lacks(set(inner))
+        for piece in lacking:
+            word = piece.rstrip(_ENDS)
+            if len(word) < len(piece) and word and _letters(word):
+                ended.append((piece, word))
+                wanted.append(word)
+            else:
+                wanted.append(piece)
+        new = self._inner.lacks(set(wanted)) if ended else lacking
         self._inner.put_all(dict(zip(new, self._many([" " + p for p in new]))))
-        self._inner.put_all({p: self._inner[p[:-1]] + self._first[p[-1]] for p in ended})
+        self._inner.put_all({p: self._inner[word] + self._first[p[len(word) :]] for p, word in ended})
         new = list(filter(self._held, self._first.lacks(heads)))
         self._first.put_all(dict(zip(new, self._many(new))))
-        return {p: self._inner[p] for p in inner if self._held(p)}
+        return {p: self._inner[p] for p in inner}
 
     def _held(self, piece: str) -> bool:
         """Neither empty nor long, no white space at its ends."""

@@ -145,7 +145,7 @@ def library_chunks(path: str, **options) -> Chunks:
 
     def encode_many(texts: list[str]) -> list[bytes]:
         if sizes is not None and len(texts) > 1 and texts[0][0] == " ":
-            return [ids for at in range(0, len(texts), 1024) for ids in encode_joined(texts[at : at + 1024])]
+            return [ids for at in range(0, len(texts), 256) for ids in encode_joined(texts[at : at + 256])]
         return encode_each(texts)
 
     def encode_each(texts: list[str]) -> list[bytes]:
@@ -214,7 +214,7 @@ def write_tokens(
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         own = f"{root}/_part-{part:06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
-        chunks = library_chunks(path)
+        chunks = library_chunks(path, most=700_000)
         end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
         with fs.open_output_stream(own) as sink:
             writer = TokenWriter(sink, width, frame_ids)

@@ -189,3 +189,26 @@ def test_the_library_is_asked_for_many_new_pieces_at_once(library, monkeypatch):
     for text, ids in zip(texts, chunks.all_ids(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == reference(library, text), text
     assert len(calls) < 10
+
+
+def test_words_with_marks_behind_them_are_learnt_once(library):
+    asked = []
+
+    def encode_many(pieces):
+        asked.extend(pieces)
+        return [np.array(reference(library, p), "<u4").tobytes() for p in pieces]
+
+    chunks = Chunks(lambda piece: encode_many([piece])[0], encode_many)
+    texts = ["see word### word&&& word!! word", "see word%%%, wörd$) 's### don't!! x2## word\n## ##word##", "see word", ""]
+    for text, ids in zip(texts, chunks.all_ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == reference(library, text), repr(text)
+    assert asked.count(" word") == 1
+    assert not any(p.startswith((" word#", " word&", " word!", " word%")) for p in asked)
+
+
+def test_a_long_document_splits_a_group_of_texts(library):
+    chunks = library_chunks(VOCABULARY)
+    texts = ["", "a", "one two " * 40 + "end", " ", "x" * 90 + " y", "one\ntwo three", ""]
+    for group_chars in (1, 200, 1 << 22):
+        for text, ids in zip(texts, chunks.all_ids(texts, group_chars), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == reference(library, text), repr(text)
