@@ -13,7 +13,7 @@ until its last. There the bytes of the tokens themselves decide.
 
 A space between two characters that are no white space begins a token of both, and no
 merge of either reaches across it. So texts are parted there, and a part that occurs
-many times in a block of documents is aligned once; cuts fall together at every such space.
+many times is aligned once as long as it is known; cuts fall together at every such space.
 
 Documents stay where they are read. For a block of documents there is one row for each
 pair of ids, however often they are linked; these rows go by pair to be summed, and the
@@ -60,7 +60,7 @@ class Part(NamedTuple):
 class Aligner:
     """A byte-level vocabulary (A, ``tokenizers``) against a sentencepiece model (B) that adds a space."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, most: int = 500_000):
         # Tasks are the parallelism here.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -91,6 +91,9 @@ class Aligner:
         # How an id is written, by what comes after it.
         ids = range(max(len(self._a_sizes), self.n_b))
         self._written = {end: np.array([f"{i}{end}" for i in ids], object) for end in (",", "|", ";", "")}
+        self._most = most
+        self._number: dict[str, int] = {}
+        self._known = self.table([])
 
     def parts_of(self, text: str) -> list[str]:
         """The parts of a text, without the spaces between them."""
@@ -98,7 +101,25 @@ class Aligner:
             return []
         return _INNER_SPACE.split(text) if self._parted else [text]
 
-    def table(self, parts: list[str], together: int = 4096) -> _Table:
+    def known(self, parts: set[str]) -> tuple[dict[str, int], _Table]:
+        """Places of the parts in a table that keeps those met before, ``most`` of them at most.
+
+        It starts afresh when more would come together; only the parts of one call may be more.
+        """
+        new = parts.difference(self._number)
+        if len(self._number) + len(new) > self._most:
+            self._number, self._known, new = {}, self.table([]), parts
+        if new:
+            held, listed = self._known, list(new)
+            found = self.table(listed)
+            found = found._replace(begin=found.begin + len(held.codes))
+            self._known = _Table(
+                *(np.concatenate(both) for both in zip(held[:-1], found[:-1])), held.shown + found.shown
+            )
+            self._number.update(zip(listed, range(len(self._number), len(self._number) + len(listed))))
+        return self._number, self._known
+
+    def table(self, parts: list[str], together: int = 512) -> _Table:
         """Distinct parts, all at once where they may stand side by side in one text.
 
         That takes parts that neither begin nor end with white space; the others are
@@ -256,9 +277,7 @@ class _Aligned(NamedTuple):
 
 def _align_texts(aligner: Aligner, texts: list[str]) -> _Aligned:
     parted = [aligner.parts_of(text) for text in texts]
-    distinct = sorted(set().union(*parted))
-    number = {part: i for i, part in enumerate(distinct)}
-    table = aligner.table(distinct)
+    number, table = aligner.known(set().union(*parted))
     out = _Aligned([], [], [], [], [])
     for parts in parted:
         at = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
@@ -274,7 +293,7 @@ def _align_texts(aligner: Aligner, texts: list[str]) -> _Aligned:
     return out
 
 
-def _in_groups(batches: Iterator[dict], chars: int = 1 << 23) -> Iterator[tuple[list, list[str]]]:
+def _in_groups(batches: Iterator[dict], chars: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts, some millions of characters at a time."""
     for batch in batches:
         ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()

@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from matchbook.llm.alignment import Aligner, align, token_groups
+from matchbook.llm.alignment import Aligner, _align_texts, align, token_groups
 from matchbook.llm.queries import PIECES, VOCABULARY
 
 from .conftest import pairs, same_rows
@@ -134,3 +134,21 @@ def test_spans_of_characters_without_a_byte_each():
     """Spans that report a character more than once, or late, are refined by bytes."""
     (part,) = Aligner(VOCABULARY, PIECES).align(["①"])
     assert part.n_a >= 2 and part.n_b == 4 and len(part.links) == len(part.groups)
+
+
+@pytest.mark.parametrize("most", [500_000, 7])
+def test_parts_met_before_are_known(libraries, most, monkeypatch):
+    aligner = Aligner(VOCABULARY, PIECES, most)
+    asked = []
+    table = aligner.table
+    monkeypatch.setattr(aligner, "table", lambda parts: asked.extend(parts) or table(parts))
+    groups = [["one two wörd", "two, three", ""], ["three one two,", "new one  two", " x"], ["one two wörd", "two, 🙂 three"]]
+    for texts in groups:
+        found = _align_texts(aligner, texts)
+        for i, text in enumerate(texts):
+            a, b = tokens(libraries, text)
+            ends = sorted({end for _, end in a} & {end for _, end in b})
+            assert (found.n_a[i], found.n_b[i], found.n_groups[i]) == (len(a), len(b), len(ends)), repr(text)
+            left, right = ({end: k for k, end in side} for side in (a, b))
+            assert found.pairs[i].tolist() == [left[end] * aligner.n_b + right[end] for end in ends], repr(text)
+    assert (len(asked) == len(set(asked))) == (most > 7)
