@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from matchbook.llm.texts import Memo, documents, map_rows
+from matchbook.llm.texts import Memo, documents, map_rows, parts
 
 # Fixed value: how byte-level vocabularies cut a text before merging.
 PRETOKENS = regex.compile(
@@ -34,6 +34,10 @@ PRETOKENS = regex.compile(
 #: A run of these is a pre-token of its own between a letter and a space.
 _ENDS = ".,;:!?#$%&*)]}"
 
+#: Letters that every version of Unicode calls so, and white space.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+_WHITE = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+
 
 def _letters(text: str) -> bool:
     """Only letters, and only such as every version of Unicode calls so: one pre-token."""
@@ -44,28 +48,34 @@ _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Chunks:
-    """Encodes texts piece by piece, each distinct piece once as long as the memo holds it.
+    """Encodes texts piece by piece, each distinct word once as long as the memo holds it.
 
     A space between two characters that are no white space always starts a new
     pre-token, and no pre-token looks beyond it; so a text may be cut there. Other
     texts (double spaces, blanks at the ends) are cut at the spaces that qualify.
-    Pieces that differ from text to text (very long ones) aren't held.
+    Pieces that differ from text to text (very long ones) aren't held. A word with
+    marks behind it is the word and the marks.
+
+    The memo is two Arrow arrays, so a group of texts is looked up in a few calls. When it
+    has grown to ``most`` words it keeps those of the group at hand.
     """
 
     def __init__(
         self,
         encode: Callable[[str], bytes],
-        encode_many: Callable[[list[str]], list[bytes]] | None = None,
+        encode_many: Callable[[list[str]], list[bytes] | pa.LargeBinaryArray] | None = None,
         most: int = 500_000,
         longest: int = 64,
     ):
-        self._encode, self._longest = encode, longest
+        self._encode, self._most, self._longest = encode, most, longest
         self._many = encode_many or (lambda pieces: [encode(p) for p in pieces])
-        self._inner = Memo(lambda piece: encode(" " + piece), most)
+        self._words = pa.array([], pa.large_string())
+        self._word_ids = pa.array([], pa.large_binary())
+        self._inner = Memo(lambda piece: encode(" " + piece), most // 10)
         self._first = Memo(encode, most // 10)
 
-    def all_ids(self, texts: list[str], group_chars: int = 1 << 22) -> Iterator[bytes]:
-        """Ids of each text; the new pieces of some texts are encoded together."""
+    def all_ids(self, texts: list[str], group_chars: int = 1 << 23) -> Iterator[bytes]:
+        """Ids of each text; the new words of some texts are encoded together."""
         low = held = 0
         for high, text in enumerate(texts, 1):
             held += len(text)
@@ -83,46 +93,68 @@ class Chunks:
         inside[firsts] = False
         used = np.zeros(len(coded.dictionary), bool)
         used[code[inside]] = True
-        names = coded.dictionary.filter(pa.array(used)).to_pylist()
-        heads = split.flatten().take(pa.array(firsts)).to_pylist()
+        names = coded.dictionary.filter(pa.array(used))
+        heads = coded.dictionary.take(pa.array(code[firsts])).to_pylist()
 
-        found = list(map(self._inner.get, names))
-        lacking = [i for i, ids in enumerate(found) if ids is None]
-        learnt = self._learn([names[i] for i in lacking], set(heads))
-        for i in lacking:
-            found[i] = learnt.get(names[i])
-        found += [self._first[head] if self._held(head) else None for head in heads]
+        inner = self._inner_ids(names)
+        new = self._first.lacks({head for head in heads if self._held(head)})
+        self._first.put_all(dict(zip(new, _listed(self._many(new)))))
+        outer = pa.array([self._first[head] if self._held(head) else None for head in heads], pa.large_binary())
 
         # A row of ``found`` for each piece: inner pieces by what they are, the others by their text.
-        row = (np.cumsum(used) - 1)[code]
-        row[firsts] = len(names) + np.arange(len(texts))
-        unheld = np.fromiter((ids is None for ids in found), bool, len(found))
+        found = pa.concat_arrays([inner, outer])
+        row = (np.cumsum(used, dtype=np.int32) - 1)[code]
+        row[firsts] = len(names) + np.arange(len(texts), dtype=np.int32)
+        unheld = found.is_null().to_numpy(zero_copy_only=False)
         rough = np.logical_or.reduceat(unheld[row], firsts).tolist()
-        laid = pa.array(found, pa.large_binary()).take(pa.array(row))
+        known = dict(zip(names.to_pylist(), inner.to_pylist())) if any(rough) else {}
+        laid = found.take(pa.array(row))
         _, ends, data = laid.buffers()
         cuts = np.frombuffer(ends, np.int64)[starts].tolist()
         ids = memoryview(data if data is not None else b"")
         for text, a, b, rest in zip(texts, cuts, cuts[1:], rough):
-            yield self._rough(text) if rest else ids[a:b].tobytes()
-
-    def _learn(self, inner: list[str], heads: set[str]) -> dict[str, bytes]:
-        """Ids of the inner pieces; those that can't be held have none."""
-        inner = list(filter(self._held, inner))
-        wanted, ended = [], []
-        lacking = self._inner.lacks(set(inner))
-        for piece in lacking:
-            word = piece.rstrip(_ENDS)
-            if len(word) < len(piece) and word and _letters(word):
-                ended.append((piece, word))
-                wanted.append(word)
-            else:
-                wanted.append(piece)
-        new = self._inner.lacks(set(wanted)) if ended else lacking
-        self._inner.put_all(dict(zip(new, self._many([" " + p for p in new]))))
-        self._inner.put_all({p: self._inner[word] + self._first[p[len(word) :]] for p, word in ended})
-        new = list(filter(self._held, self._first.lacks(heads)))
-        self._first.put_all(dict(zip(new, self._many(new))))
-        return {p: self._inner[p] for p in inner}
+            yield self._rough(text, known) if rest else ids[a:b].tobytes()
+
+    def _inner_ids(self, names: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct pieces behind a space, marks put back behind their words; those that can't be held have none."""
+        size = _sizes(names)
+        held = (size > 0) & (_sizes(pc.utf8_trim(names, _WHITE)) == size)
+        held &= pc.less_equal(pc.utf8_length(names), self._longest).to_numpy(zero_copy_only=False)
+        rest = pc.utf8_ltrim(names, _LETTERS)
+        left = _sizes(rest)
+        ended = held & (left > 0) & (left < size) & (_sizes(pc.utf8_rtrim(rest, _ENDS)) == 0)
+        words = pc.if_else(pa.array(ended), pc.utf8_rtrim(names, _ENDS), names)
+        coded = pc.if_else(pa.array(held), words, pa.scalar(None, pa.large_string())).dictionary_encode()
+        pool, place = self._looked_up(coded.dictionary)
+        found = pool.take(pa.array(place).take(coded.indices))
+        if not ended.any():
+            return found
+        marks = rest.filter(pa.array(ended)).dictionary_encode()
+        behind = pa.array([self._first[m] for m in marks.dictionary.to_pylist()], pa.large_binary())
+        joined = pc.binary_join_element_wise(
+            found.filter(pa.array(ended)), behind.take(marks.indices), pa.scalar(b"", pa.large_binary())
+        )
+        row = np.arange(len(names))
+        row[ended] = len(names) + np.arange(len(joined))
+        return pa.concat_arrays([found, joined]).take(pa.array(row))
+
+    def _looked_up(self, words: pa.LargeStringArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """An array of ids and the place of each word in it; new words are learnt."""
+        at = pc.index_in(words, value_set=self._words)
+        lacking = at.is_null()
+        new = words.filter(lacking)
+        ids = self._many([" " + word for word in new.to_pylist()]) if len(new) else []
+        ids = ids if isinstance(ids, pa.Array) else pa.array(ids, pa.large_binary())
+        if len(self._words) + len(new) > self._most:
+            met = at.drop_null()
+            self._words, self._word_ids = self._words.take(met), self._word_ids.take(met)
+            at = pc.if_else(lacking, None, pc.cumulative_sum(pc.invert(lacking).cast(pa.int32())))
+            at = pc.subtract(at, 1)
+        place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[lacking.to_numpy(zero_copy_only=False)] = len(self._words) + np.arange(len(new))
+        self._words = pa.concat_arrays([self._words, new])
+        self._word_ids = pa.concat_arrays([self._word_ids, ids])
+        return self._word_ids, place
 
     def _held(self, piece: str) -> bool:
         """Neither empty nor long, no white space at its ends."""
@@ -132,17 +164,28 @@ class Chunks:
         """Little-endian unsigned 32-bit ids of the text."""
         return next(self.all_ids([text]))
 
-    def _rough(self, text: str) -> bytes:
+    def _rough(self, text: str, known: dict[str, bytes | None]) -> bytes:
         """Ids of a text with a space beside white space or at an end, or with a long piece."""
         if not text:
             return b""
         pieces = _INNER_SPACE.split(text)
         out = [self._encode(pieces[0])]
         for piece in pieces[1:]:
-            out.append(self._inner[piece] if self._held(piece) else self._encode(" " + piece))
+            ids = known.get(piece)
+            if ids is None:
+                ids = self._inner[piece] if self._held(piece) else self._encode(" " + piece)
+            out.append(ids)
         return b"".join(out)
 
 
+def _sizes(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts).to_numpy(zero_copy_only=False)
+
+
+def _listed(ids: list[bytes] | pa.Array) -> list[bytes]:
+    return ids.to_pylist() if isinstance(ids, pa.Array) else ids
+
+
 class ByteBpe:
     """A byte-level vocabulary in the ``tokenizers`` JSON format.
 
@@ -184,7 +227,8 @@ class ByteBpe:
             heads = (token[:end] for end in range(len(token), 0, -1))
             self._prefixes[i] = tuple(ids[head] for head in heads if head in ids)
         self._words.make_automaton()
-        self._fits: Memo = Memo(lambda pair: self._compatible(*pair), 1_000_000)
+        # A pair is one number: left * size + right.
+        self._fits: Memo = Memo(lambda pair: self._compatible(*divmod(pair, self.size)), 300_000)
         self.offsets = np.zeros(self.size + 1, np.int64)
         np.cumsum(self._length, out=self.offsets[1:])
         self.blob = np.frombuffer(b"".join(raw), np.uint8)
@@ -225,9 +269,9 @@ class ByteBpe:
         data = piece.encode("utf-8").decode("latin-1")
         n = len(data)
         longest = [0] * n
-        for end, (size, i) in self._words.iter(data):
-            longest[end - size + 1] = i  # ends rise, so the longest comes last
-        length, fits, prefixes = self._length, self._fits, self._prefixes
+        for end, (count, i) in self._words.iter(data):
+            longest[end - count + 1] = i  # ends rise, so the longest comes last
+        length, fits, prefixes, size = self._length, self._fits, self._prefixes, self.size
         path: list[int] = []
         choices = [iter(prefixes[longest[0]])]
         dead: set[int] = set()
@@ -235,7 +279,7 @@ class ByteBpe:
         while at < n:
             for token in choices[-1]:
                 end = at + length[token]
-                if end not in dead and (not path or fits[path[-1], token]):
+                if end not in dead and (not path or fits[path[-1] * size + token]):
                     path.append(token)
                     at = end
                     if at < n:
@@ -303,7 +347,7 @@ def encode_documents(
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         chunks = own_chunks(path)
-        for batch in batches:
+        for batch in parts(batches, 2000):
             ids = list(chunks.all_ids(batch["text"].to_pylist()))
             yield {"doc_id": batch["doc_id"], "ids": ids}
 
@@ -334,7 +378,7 @@ def round_trip(
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         bpe = byte_bpe(path)
         chunks = own_chunks(path)
-        for batch in batches:
+        for batch in parts(batches, 2000):
             ids = list(chunks.all_ids(batch["text"].to_pylist()))
             texts = (bpe.decode(np.frombuffer(x, "<u4")) for x in ids)
             yield {

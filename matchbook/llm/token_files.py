@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -143,16 +144,16 @@ def library_chunks(path: str, **options) -> Chunks:
     tokenizer.no_padding()
     sizes = _byte_sizes(tokenizer)
 
-    def encode_many(texts: list[str]) -> list[bytes]:
+    def encode_many(texts: list[str]) -> list[bytes] | pa.LargeBinaryArray:
         if sizes is not None and len(texts) > 1 and texts[0][0] == " ":
-            return [ids for at in range(0, len(texts), 256) for ids in encode_joined(texts[at : at + 256])]
+            return pa.concat_arrays([encode_joined(texts[at : at + 256]) for at in range(0, len(texts), 256)])
         return encode_each(texts)
 
     def encode_each(texts: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def encode_joined(texts: list[str]) -> list[bytes]:
+    def encode_joined(texts: list[str]) -> pa.LargeBinaryArray:
         """Pieces with a space before and none inside, as one text: its ids are cut where pieces end."""
         text = "".join(texts)
         ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -161,9 +162,10 @@ def library_chunks(path: str, **options) -> Chunks:
         covered = np.cumsum(sizes[ids])
         cuts = np.searchsorted(covered, ends)
         if len(ends) != len(texts) or covered[-1] != len(data) or not np.array_equal(covered[cuts], ends):
-            return encode_each(texts)
-        raw, cuts = ids.tobytes(), (4 * (cuts + 1)).tolist()
-        return [raw[at:end] for at, end in zip([0, *cuts], cuts)]
+            return pa.array(encode_each(texts), pa.large_binary())
+        bounds = np.append(0, 4 * (cuts + 1))
+        buffers = [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), buffers)
 
     return Chunks(lambda text: encode_many([text])[0], encode_many, **options)
 

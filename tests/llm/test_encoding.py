@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -206,6 +207,42 @@ def test_words_with_marks_behind_them_are_learnt_once(library):
     assert not any(p.startswith((" word#", " word&", " word!", " word%")) for p in asked)
 
 
+def test_new_pieces_are_learnt_without_a_call_for_each(library):
+    """Words and marks are told apart by Arrow: 6,000 new pieces made 12,000 calls and more before."""
+    calls = [0]
+
+    def encode_many(pieces):
+        return [str(len(p)).encode() * 4 for p in pieces]
+
+    def count(frame, event, arg):
+        calls[0] += event == "call" and frame.f_code.co_filename.endswith(("bpe.py", "texts.py"))
+
+    chunks = Chunks(lambda piece: encode_many([piece])[0], encode_many)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(6000)]
+    texts = ["see " + " ".join(word + ",." for word in words)]
+    sys.setprofile(count)
+    try:
+        ids = next(chunks.all_ids(texts))
+    finally:
+        sys.setprofile(None)
+    assert ids == b"3333" + (b"5555" + b"2222") * 6000
+    assert calls[0] < 200
+
+
+def test_a_full_memo_keeps_the_words_of_the_group(library):
+    asked = []
+
+    def encode_many(pieces):
+        asked.extend(pieces)
+        return [np.array(reference(library, p), "<u4").tobytes() for p in pieces]
+
+    chunks = Chunks(lambda piece: encode_many([piece])[0], encode_many, most=4)
+    texts = ["see one two three", "see three four, five", "see  three four six 中文", "see three four! \tsix ."]
+    for text, ids in zip(texts, chunks.all_ids(texts, 1), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == reference(library, text), repr(text)
+    assert asked.count(" three") == asked.count(" four") == 1
+
+
 def test_a_long_document_splits_a_group_of_texts(library):
     chunks = library_chunks(VOCABULARY)
     texts = ["", "a", "one two " * 40 + "end", " ", "x" * 90 + " y", "one\ntwo three", ""]
