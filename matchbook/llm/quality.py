@@ -22,7 +22,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.llm.texts import Memo, keyed_documents, map_rows, same_document
+from matchbook.llm.texts import Memo, keyed_documents, map_rows, parts, same_document
 from matchbook.runtime import cut
 
 TARGETS = ("low", "toxic")
@@ -164,7 +164,7 @@ def fit(
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         memo = word_memo()
-        for batch in batches:
+        for batch in parts(batches, 1000):
             found = [features(text, memo) for text in batch["text"].to_pylist()]
             yield {"found": found} | {t: batch[t] for t in TARGETS}
 
@@ -213,7 +213,7 @@ def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataF
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         memo, trained = word_memo(), shared.value
-        for batch in batches:
+        for batch in parts(batches, 1000):
             scores = np.tile(trained.intercepts, (batch["text"].__len__(), 1))
             for i, text in enumerate(batch["text"].to_pylist()):
                 for name in features(text, memo):

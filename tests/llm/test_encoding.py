@@ -11,6 +11,7 @@ import pytest
 import zstandard
 from tokenizers import Tokenizer
 
+from matchbook.llm import bpe
 from matchbook.llm.bpe import ByteBpe, Chunks, _byte_characters, byte_bpe, decode_documents, encode_documents, round_trip
 from matchbook.llm.queries import VOCABULARY
 from matchbook.llm.token_files import (
@@ -21,7 +22,7 @@ from matchbook.llm.token_files import (
     token_folder,
     write_tokens,
 )
-from matchbook.llm.texts import Memo
+from matchbook.llm.texts import Memo, parts
 
 from .conftest import pairs, same_rows
 
@@ -229,6 +230,24 @@ def test_new_pieces_are_learnt_without_a_call_for_each(library):
     assert calls[0] < 200
 
 
+def test_parts_are_small_and_hold_every_row():
+    batches = [{"doc_id": pa.array(range(n)), "text": pa.array(["x" * i for i in range(n)])} for n in (0, 3, 7)]
+    found = list(parts(iter(batches), 3))
+    assert [len(part["doc_id"]) for part in found] == [3, 3, 3, 1]
+    assert [x for part in found for x in part["doc_id"].to_pylist()] == [*range(3), *range(7)]
+    assert all([len(x) for x in p["text"].to_pylist()] == p["doc_id"].to_pylist() for p in found)
+
+
+@pytest.mark.parametrize("run", [round_trip, encode_documents])
+def test_the_encoder_takes_small_parts_of_a_batch(spark, monkeypatch, run):
+    """However many rows a batch has, no more than 2,000 texts are encoded at a time."""
+    tasks = []
+    monkeypatch.setattr(bpe, "map_rows", lambda df, fn, schema: tasks.append(fn))
+    run(spark.createDataFrame([(1, "a")], "doc_id long, text string"), VOCABULARY)
+    batch = {"doc_id": pa.array(range(4500)), "text": pa.array(["some words"] * 4500)}
+    assert [len(out["doc_id"]) for out in tasks[0](iter([batch]))] == [2000, 2000, 500]
+
+
 def test_a_full_memo_keeps_the_words_of_the_group(library):
     asked = []
 

@@ -5,6 +5,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,3 +366,14 @@ def test_blocks_of_a_benchmark_of_repeats_are_bounded(spark, monkeypatch):
     assert max(sizes) <= 1000 and len(sizes) > 1
     expected = [(1, i) for i, _ in repeated] + [(2, 3)]
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == expected
+
+
+def test_the_classifier_takes_small_parts_of_a_batch(spark, monkeypatch):
+    """However many rows a batch has, the features of no more than 1,000 texts are held at a time."""
+    tasks = []
+    monkeypatch.setattr(quality, "map_rows", lambda df, fn, schema: tasks.append(fn))
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    quality.evidence(docs, quality.Model({}, (0.0, 0.0)), F.lit("host"), F.lit("path"))
+    batch = {name: pa.array(range(2500)) for name in ("doc_id", "text_key", "host", "path")}
+    batch["text"] = pa.array(["some words"] * 2500)
+    assert [len(out["low"]) for out in tasks[0](iter([batch]))] == [1000, 1000, 500]
