@@ -13,13 +13,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from matchbook.operators.graph import endpoint_ids
 from matchbook.operators.hubs import HUB_FLOOR, HUB_SHARE, hub_join, hub_threshold
-from matchbook.runtime import cut, fixed_plans
+from matchbook.runtime import cut, cut_batches, fixed_plans, let_go
 
-#: Links that a task contracts at a time, whole scopes of them unless one has as many.
+#: Links that a task contracts at a time. A scope with more goes through the rounds.
 CHUNK = 1_000_000
 
 
@@ -29,18 +32,131 @@ def connected_groups(
     hub_share: float = HUB_SHARE,
     hub_floor: int = HUB_FLOOR,
     chunk: int = CHUNK,
+    wins: str | None = None,
 ) -> DataFrame:
     """Group of every id that an edge touches: ``(*scope, id, group_id)``.
 
     ``group_id`` is the smallest id of the group. With ``scope`` columns, ids are
-    joined up only by edges of the same scope, for all scopes in one run.
+    joined up only by edges of the same scope, for all scopes in one run; where one of
+    these is null, every id is a group of its own. ``wins`` names one more column, the
+    number of edges of the scope that leave the id (none without a scope).
+
+    The edges of a scope meet in one task, which makes each group a star around its
+    smallest id. Only scopes of more than ``chunk`` edges go through the rounds; a count of
+    the edges ahead tells which.
+    """
+    scope = list(scope)
+    ends = F.array("src", "dst")  # of one type
+    edges = edges.select(*scope, ends[0].alias("src"), ends[1].alias("dst")).filter(
+        F.col("src").isNotNull() if wins else F.col("src").isNotNull() & F.col("dst").isNotNull()
+    )
+    if not scope:
+        return _with_wins(_by_rounds(edges, scope, hub_share, hub_floor, chunk), edges, scope, wins)
+    unscoped = F.lit(False)
+    for name in scope:
+        unscoped = unscoped | F.col(name).isNull()
+    apart, seen = cut(
+        edges.groupBy(*scope)
+        .agg(F.count(F.lit(1)).alias("links"))
+        .select(*scope, unscoped.alias("unscoped"), (F.col("links") > chunk).alias("large"))
+        .filter("unscoped or large"),
+        unscoped=F.count_if("unscoped"),
+        large=F.count_if(~F.col("unscoped")),
+    )
+    let_go(edges.sparkSession)
+    whole = edges.filter(~unscoped)
+    # Each of these has more than a chunk of the edges, so there are few.
+    large = F.broadcast(apart.filter(~F.col("unscoped")).select(*scope))
+    if seen["large"]:
+        whole = whole.join(large, scope, "left_anti")
+    groups = _of_whole_scopes(whole, scope, chunk, wins)
+    let_go(edges.sparkSession)
+    if seen["large"]:
+        hot = edges.join(large, scope, "left_semi")
+        found = _by_rounds(hot, scope, hub_share, hub_floor, chunk)
+        groups = groups.unionByName(_with_wins(found, hot, scope, wins))
+    if seen["unscoped"]:
+        met = edges.filter(unscoped & F.col("dst").isNotNull())
+        alone = endpoint_ids(met, scope).withColumn("group_id", F.col("id"))
+        if wins:
+            alone = alone.withColumn(wins, F.lit(0).cast("bigint"))
+        groups = groups.unionByName(alone)
+    return groups
+
+
+def _with_wins(
+    groups: DataFrame, edges: DataFrame, scope: list[str], wins: str | None
+) -> DataFrame:
+    if not wins:
+        return groups
+    won = edges.groupBy(*scope, F.col("src").alias("id")).agg(F.count(F.lit(1)).alias(wins))
+    return groups.join(won, [*scope, "id"], "left").fillna(0, [wins])
+
+
+def _of_whole_scopes(
+    edges: DataFrame, scope: list[str], chunk: int, wins: str | None
+) -> DataFrame:
+    """Groups of scopes that each meet in one task: one shuffle, and compressed rows kept."""
+    types = {field.name: field.dataType for field in edges.schema}
+    types |= {"id": types["src"], "group_id": types["src"], wins or "wins": LongType()}
+    names = [*scope, "id", "group_id", *([wins] if wins else [])]
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for links in _chunks(batches, chunk, whole=True):
+            arrays = _members(links, scope)
+            yield pa.RecordBatch.from_arrays(arrays[: len(names)], names)
+
+    dealt = edges.select(F.xxhash64(*scope).alias("deal"), *edges.columns)
+    dealt = dealt.repartition("deal").sortWithinPartitions("deal")
+    schema = StructType([StructField(name, types[name]) for name in names])
+    return cut_batches(dealt, members, schema)
+
+
+def _members(links: pa.Table, scope: list[str]) -> list[pa.Array]:
+    """The columns of ``scope``, each id with the smallest of its group, the edges that leave it.
+
+    Rows without ``dst`` join up nothing but count for an id that others touch.
+    """
+    ends = pa.chunked_array([*links["src"].chunks, *links["dst"].chunks], links["src"].type)
+    ids = ends.combine_chunks().dictionary_encode()
+    order = pc.sort_indices(ids.dictionary)
+    names, n = ids.dictionary.take(order), len(order)
+    rank = np.empty(n, np.int64)
+    rank[order.to_numpy()] = np.arange(n)
+    event = np.zeros(links.num_rows, np.int64)
+    for name in scope:
+        codes = links[name].combine_chunks().dictionary_encode()
+        event = event * len(codes.dictionary) + codes.indices.to_numpy()
+        _, at, event = np.unique(event, return_index=True, return_inverse=True)
+    # An id is another node in each scope, and keeps its order there.
+    keys = event * n + rank[ids.indices.fill_null(0).to_numpy()].reshape(2, -1)
+    met = links["dst"].is_valid().to_numpy()
+    nodes, joined = np.unique(keys[:, met], return_inverse=True)
+    joined = joined.reshape(2, -1)
+    wins = np.bincount(joined[0], minlength=len(nodes))
+    won = np.searchsorted(nodes, lone := keys[0, ~met])
+    known = won < len(nodes)
+    known[known] = nodes[won[known]] == lone[known]
+    wins += np.bincount(won[known], minlength=len(nodes))
+    rows = pa.array(at[nodes // max(n, 1)])
+    return [
+        *(links[name].combine_chunks().take(rows) for name in scope),
+        names.take(pa.array(nodes % max(n, 1))),
+        names.take(pa.array(nodes[_roots(joined, len(nodes))] % max(n, 1))),
+        pa.array(wins, pa.int64()),
+    ]
+
+
+def _by_rounds(
+    edges: DataFrame, scope: list[str], hub_share: float, hub_floor: int, chunk: int
+) -> DataFrame:
+    """Groups of links that may be more than a task can hold.
 
     Ids are numbered once, so that the rounds move pairs of longs only. No key that is
     shuffled there is large, so a half round is one job without adaptive execution. The
-    links of a scope meet in a task that contracts them ahead of the rounds; these are left
-    with what a large scope has in several tasks or chunks.
+    links of a scope are contracted ahead of the rounds, a chunk of them at a time; these
+    are left with what a scope has in several tasks or chunks.
     """
-    scope = list(scope)
     met, seen = cut(
         edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
         .select(*scope, F.least("src", "dst").alias("id"), F.greatest("src", "dst").alias("id_2"))
@@ -107,7 +223,8 @@ def _contracted(links: DataFrame, chunk: int) -> DataFrame:
     """
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _chunks(batches, chunk):
+        for links in _chunks(batches, chunk):
+            columns = [column.to_numpy() for column in links.columns]
             arrays = [pa.array(column) for column in _stars(*columns)]
             yield pa.RecordBatch.from_arrays(arrays, ["scope", "node", "low", "first"])
 
@@ -115,43 +232,55 @@ def _contracted(links: DataFrame, chunk: int) -> DataFrame:
     return dealt.mapInArrow(stars, "scope long, node long, low long, first boolean")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[list[np.ndarray]]:
-    """The columns of rows sorted by the first one, cut where it changes if it does in a chunk."""
+def _chunks(
+    batches: Iterator[pa.RecordBatch], chunk: int, whole: bool = False
+) -> Iterator[pa.Table]:
+    """Rows sorted by the first column, cut where it changes if it does in a chunk.
+
+    With ``whole`` they are cut nowhere else.
+    """
     held, rows = [], 0
     for batch in batches:
-        held.append([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+        held.append(batch)
         rows += batch.num_rows
         if rows < chunk:
             continue
-        joined = [np.concatenate(parts) for parts in zip(*held, strict=True)]
-        # The last scope may go on in the next batch.
-        end = int(np.searchsorted(joined[0], joined[0][-1])) or rows
-        yield [column[:end] for column in joined]
-        held, rows = [[column[end:] for column in joined]], rows - end
+        joined = pa.Table.from_batches(held)
+        first = joined.column(0).to_numpy()
+        # The last value may go on in the next batch.
+        end = int(np.searchsorted(first, first[-1])) or (0 if whole else rows)
+        if end:
+            yield joined.slice(0, end)
+            held, rows = joined.slice(end).to_batches(), rows - end
     if rows:
-        yield [np.concatenate(parts) for parts in zip(*held, strict=True)]
+        yield pa.Table.from_batches(held)
 
 
 def _stars(scope: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each node but the smallest of its group with its scope and that one; first of a scope.
+    """Each node but the smallest of its group with its scope and that one; first of a scope."""
+    nodes, met_at, ends = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
+    root = _roots(ends.reshape(2, -1), len(nodes))
+    hung = root != np.arange(len(nodes))
+    scopes = scope[met_at[hung] % len(scope)]
+    first = np.zeros(len(scopes), bool)
+    first[np.unique(scopes, return_index=True)[1]] = True
+    return scopes, nodes[hung], nodes[root[hung]], first
+
+
+def _roots(ends: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of its group for each of ``n`` nodes, given the two ends of the links.
 
     Roots are hung on the smallest root they are linked to, and paths cut short, until no
     link joins two groups.
     """
-    nodes, met_at, ends = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
-    ends = ends.reshape(2, -1)
-    root = np.arange(len(nodes))
+    root = np.arange(n)
     while ends.shape[1]:
         np.minimum.at(root, ends.max(axis=0), ends.min(axis=0))
         while (root != (up := root[root])).any():
             root = up
         ends = root[ends]
         ends = ends[:, ends[0] != ends[1]]
-    hung = root != np.arange(len(nodes))
-    scopes = scope[met_at[hung] % len(scope)]
-    first = np.zeros(len(scopes), bool)
-    first[np.unique(scopes, return_index=True)[1]] = True
-    return scopes, nodes[hung], nodes[root[hung]], first
+    return root
 
 
 def _raise(links: DataFrame, threshold: float | None) -> DataFrame:

@@ -21,7 +21,7 @@ from matchbook.operators.components import connected_groups
 from matchbook.operators.graph import PropertyGraph
 from matchbook.operators.profile import count_by
 from matchbook.operators.ranking import best_per_group, top_ranked
-from matchbook.runtime import cut
+from matchbook.runtime import cut, let_go
 
 EVENT = ["tournament", "year"]
 ROUND_ROBIN = "Round Robin"
@@ -167,22 +167,39 @@ def group_wins(graph: PropertyGraph) -> DataFrame:
     )
 
 
+#: Ids that are sent to all tasks at once, if there are no more.
+FEW_IDS = 100_000
+
+
 def group_qualifiers(graph: PropertyGraph, k: int = 2, winless: bool = True) -> DataFrame:
     """The ``k`` players of each group with most wins.
 
     A player without a win counts zero wins; without ``winless`` such a player
     cannot qualify, and a group may send fewer than ``k``.
     """
-    # The matches are read once; wins and groups both come from who beat whom how often.
-    met, _ = cut(
-        event_round_robin(graph).groupBy(*EVENT, "src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    )
-    wins = met.groupBy(*EVENT, F.col("src").alias("id")).agg(F.sum("n").alias("wins"))
+    # The wins come out of the task that finds the groups of an event.
+    players = connected_groups(event_round_robin(graph), EVENT, wins="wins")
+    if not winless:
+        players = players.filter("wins > 0")
     named = graph.vertices.select("id", "full_name", "nationality")
-    players = connected_groups(met, EVENT).join(named, "id")
-    played = players.join(wins, [*EVENT, "id"], "left" if winless else "inner")
-    counted = played.withColumn("wins", F.coalesce("wins", F.lit(0).cast("bigint")))
-    return best_per_group(counted, [*EVENT, "group_id"], [F.desc("wins"), F.asc("id")], k)
+    known = _of_known(players, named)
+    # Every id left has a name, so that names are looked up for k ids of a group only; an id
+    # with two names takes two places.
+    place = [*EVENT, "group_id"], [F.desc("wins"), F.asc("id")], k
+    best = best_per_group(known, *place).drop("rank").join(named, "id")
+    columns = [*EVENT, "id", "group_id", "full_name", "nationality", "wins"]
+    return best_per_group(best.select(*columns), *place)
+
+
+def _of_known(players: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows with an id of ``named``; where all have one, none of them is shuffled."""
+    ids = players.select("id").distinct()
+    strangers, seen = cut(ids.join(named, "id", "left_anti"), n=F.count(F.lit(1)))
+    let_go(players.sparkSession)
+    if not seen["n"]:
+        return players
+    few = seen["n"] <= FEW_IDS
+    return players.join(F.broadcast(strangers) if few else strangers, "id", "left_anti")
 
 
 def titles_won(

@@ -2,14 +2,18 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from conftest import rows
 
+from matchbook import runtime
 from matchbook.operators import components
 from matchbook.operators.components import connected_groups
 from matchbook.operators.graph import PropertyGraph
 from matchbook.operators.pagerank import pagerank
+from matchbook.plans import season
 
 HUB_SETTINGS = [{}, {"hub_share": 0.05, "hub_floor": 0}]
 
@@ -174,3 +178,75 @@ def test_loops_run_few_jobs_and_leave_the_settings(spark):
     # A job for two rounds, and those that lay out links and state.
     assert jobs <= 20
     assert spark.conf.get("spark.sql.adaptive.enabled") == before
+
+
+def odd_scoped_edges(seed=4):
+    """Scopes with nulls and without, ends that are null, edges that come twice."""
+    draw = random.Random(seed)
+    ends = [None, *(f"p{i}" for i in range(25))]
+    edges = [
+        (draw.choice(["a", "b", "c", None]), draw.choice([1, 2, None]), draw.choice(ends), draw.choice(ends))
+        for _ in range(150)
+    ]
+    hot = [("hot", 1, draw.choice(ends), draw.choice(ends)) for _ in range(80)]
+    return edges + edges[:30] + hot
+
+
+def brute_with_wins(edges):
+    wins = Counter((e[0], e[1], e[2]) for e in edges if None not in e[:3])
+    found = set()
+    for scope in {e[:2] for e in edges}:
+        met = [e[2:] for e in edges if e[:2] == scope and None not in e[2:]]
+        if None in scope:
+            met = [(x, x) for e in met for x in e]
+        found |= {(*scope, i, top, wins[(*scope, i)]) for i, top in brute_groups(met).items()}
+    return found
+
+
+@pytest.mark.parametrize("chunk", [9, 10_000])
+def test_wins_come_with_the_groups(spark, chunk):
+    """Of whole scopes and of scopes that go through the rounds; null scopes join up nothing."""
+    edges = odd_scoped_edges()
+    df = spark.createDataFrame(edges, "event string, year int, src string, dst string")
+    found = rows(connected_groups(df, ["event", "year"], chunk=chunk, wins="wins"))
+    assert len(found) == len(set(found)) and set(found) == brute_with_wins(edges)
+    plain = rows(connected_groups(df, ["event", "year"], chunk=chunk))
+    assert sorted(map(str, plain)) == sorted(str(row[:4]) for row in found)
+
+
+def test_scopes_are_kept_whole_across_batches():
+    tables = [pa.record_batch({"deal": pa.array([k] * 4), "at": pa.array(range(4))}) for k in (1, 1, 1, 2, 2, 3)]
+    cuts = [t.column(0).to_pylist() for t in components._chunks(iter(tables), 5, whole=True)]
+    assert sum(cuts, []) == [1] * 12 + [2] * 8 + [3] * 4
+    for before, after in zip(cuts, cuts[1:], strict=False):
+        assert before[-1] != after[0]
+
+
+def test_checkpoints_of_scoped_groups_are_small(spark, monkeypatch):
+    """Bytes that all cuts of a run leave in the checkpoint folder, for each edge."""
+    kept = []
+    settle = runtime.cut
+
+    def folders():
+        top = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+        return set(top.glob("rdd-*"))
+
+    def cut(df, **metrics):
+        runtime.ensure_checkpoint_dir(spark)
+        before = folders()
+        settled = settle(df, **metrics)
+        kept.extend(p.stat().st_size for new in folders() - before for p in new.glob("part-*"))
+        return settled
+
+    for module in (runtime, components, season):
+        monkeypatch.setattr(module, "cut", cut)
+    n = 20_000
+    matches = spark.range(n).selectExpr(
+        "concat('Event of the week ', id % 40) as tournament", "2020 as year", "'Round Robin' as round",
+        "concat('S', id % 1000) as src", "concat('C', id * 7 % 9000) as dst",
+    )
+    players = spark.range(9000).selectExpr(
+        "explode(array(concat('S', id), concat('C', id))) as id", "'a' as full_name", "'b' as nationality"
+    )
+    qualified = season.group_qualifiers(PropertyGraph(players, matches)).count()
+    assert qualified > 0 and 0 < sum(kept) < 30 * n

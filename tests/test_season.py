@@ -3,6 +3,7 @@ import datetime
 import pytest
 from conftest import rows
 
+from matchbook.operators.graph import PropertyGraph
 from matchbook.plans import season
 from matchbook.sources import (
     MATCH_SCHEMA,
@@ -228,6 +229,32 @@ def test_qualifiers(graph):
     }
 
 
+def test_qualifiers_with_strangers_and_namesakes(spark, monkeypatch):
+    """A player without a name takes no place; an id with two names takes two."""
+    won = {"x": 4, "a": 3, "b": 2, "c": 1}
+    matches = [("Cup", 2020, "Round Robin", w, "d") for w, n in won.items() for _ in range(n)]
+    matches += [("Open", 2020, "Round Robin", "b", "x")]
+    names = [("a", "Ann"), ("b", "Bea"), ("b", "Bee"), ("c", "Cat"), ("d", "Dee")]
+    graph = PropertyGraph(
+        spark.createDataFrame([(*n, "AAA") for n in names], "id string, full_name string, nationality string"),
+        spark.createDataFrame(
+            matches, "tournament string, year int, round string, src string, dst string"
+        ),
+    )
+    expected = [("cup", "a", 3, 1), ("cup", "b", 2, 2), ("open", "b", 1, 1), ("open", "b", 1, 2)]
+    for few in (season.FEW_IDS, 0):
+        monkeypatch.setattr(season, "FEW_IDS", few)
+        found = season.group_qualifiers(graph)
+        assert sorted(rows(found.select("tournament", "id", "wins", "rank"))) == expected
+        assert {r["group_id"] for r in found.collect()} == {"a", "b"}
+
+
+def test_names_are_looked_up_for_the_best_only(spark, graph):
+    """The cut to ``k`` players of a group stands below the join with the names."""
+    plan = season.group_qualifiers(graph)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number") >= 2 and "full_name" not in plan[plan.rindex("Window ["):].split("MapInArrow")[0]
+
+
 def test_important_matches(graph, tournaments):
     def ids(**options):
         found = season.important_matches(graph, tournaments, **options)
