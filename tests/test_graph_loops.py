@@ -222,7 +222,8 @@ def test_scopes_are_kept_whole_across_batches():
         assert before[-1] != after[0]
 
 
-def test_checkpoints_of_scoped_groups_are_small(spark, monkeypatch):
+@pytest.mark.parametrize("winless", [True, False])
+def test_checkpoints_of_scoped_groups_are_small(spark, monkeypatch, winless):
     """Bytes that all cuts of a run leave in the checkpoint folder, for each edge."""
     kept = []
     settle = runtime.cut
@@ -248,5 +249,5 @@ def test_checkpoints_of_scoped_groups_are_small(spark, monkeypatch):
     players = spark.range(9000).selectExpr(
         "explode(array(concat('S', id), concat('C', id))) as id", "'a' as full_name", "'b' as nationality"
     )
-    qualified = season.group_qualifiers(PropertyGraph(players, matches)).count()
+    qualified = season.group_qualifiers(PropertyGraph(players, matches), winless=winless).count()
     assert qualified > 0 and 0 < sum(kept) < 30 * n

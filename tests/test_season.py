@@ -247,6 +247,9 @@ def test_qualifiers_with_strangers_and_namesakes(spark, monkeypatch):
         found = season.group_qualifiers(graph)
         assert sorted(rows(found.select("tournament", "id", "wins", "rank"))) == expected
         assert {r["group_id"] for r in found.collect()} == {"a", "b"}
+        # All places are held by winners, so they are the same without the winless.
+        found = season.group_qualifiers(graph, winless=False)
+        assert sorted(rows(found.select("tournament", "id", "wins", "rank"))) == expected
 
 
 def test_names_are_looked_up_for_the_best_only(spark, graph):
