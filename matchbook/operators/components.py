@@ -74,7 +74,10 @@ def connected_groups(
     if seen["large"]:
         hot = edges.join(large, scope, "left_semi")
         found = _by_rounds(hot, scope, hub_share, hub_floor, chunk)
-        groups = groups.unionByName(_with_wins(found, hot, scope, wins))
+        # Kept like the others, so that what reads the groups twice looks nothing up again.
+        found = _with_wins(found, hot, scope, wins).select(*groups.columns)
+        groups = groups.unionByName(cut_batches(found, lambda batches: batches, groups.schema))
+        let_go(edges.sparkSession)
     if seen["unscoped"]:
         met = edges.filter(unscoped & F.col("dst").isNotNull())
         alone = endpoint_ids(met, scope).withColumn("group_id", F.col("id"))
@@ -171,6 +174,7 @@ def _by_rounds(
         .agg(F.count(F.lit(1)).alias("fan"))
         .withColumn("key", F.monotonically_increasing_id())
     )
+    let_go(edges.sparkSession)
     half = _lookup(met.filter(F.col("id") != F.col("id_2")), members, [*scope, "id"], threshold)
     half = half.select(*scope, F.col("id_2").alias("id"), F.col("key").alias("key_1"))
     keyed = _lookup(half, members, [*scope, "id"], threshold)
@@ -187,6 +191,8 @@ def _by_rounds(
         links, seen = cut(keyed.select(*ends), links=F.count(F.lit(1)))
         moving = seen["links"] > 0
     n_links, forest = seen["links"], False
+    del met, half, keyed  # their checkpoint goes with them
+    let_go(edges.sparkSession)
     with fixed_plans(edges.sparkSession):
         while moving:
             threshold = _threshold(2 * n_links, hub_share, hub_floor)
@@ -207,6 +213,7 @@ def _by_rounds(
                 *scope, "id", F.coalesce("root", "key").alias("root")
             )
         )
+    let_go(edges.sparkSession)
     groups = placed.groupBy("root").agg(
         F.min("id").alias("group_id"), F.count(F.lit(1)).alias("fan")
     )
